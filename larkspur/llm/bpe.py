@@ -46,46 +46,49 @@ def merge_piece(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int
     n = len(symbols)
     if n < 2:
         return symbols
-    leaves = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [NONE] * (2 * leaves)  # rank * n + position: the smallest is the leftmost lowest
     lookup = merges.get
-    for i in range(n - 1):
-        if (m := lookup((symbols[i], symbols[i + 1]))) is not None:
-            tree[leaves + i] = m[0] * n + i
-    for k in range(leaves - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-
-    def put(i: int, value: int) -> None:
-        k = leaves + i
-        if tree[k] == value:
-            return
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a < b else b
-            if tree[k] == low:
-                return
-            tree[k] = low
-            k >>= 1
-
-    out, after, before = list(symbols), [*range(1, n), -1], [-1, *range(n - 1)]
+    leaves = 1 << (n - 2).bit_length()
+    row = [NONE if m is None else m[0] * n + i for i, m in enumerate(map(lookup, zip(symbols, symbols[1:])))]  # rank * n + position: the smallest is the leftmost lowest
+    row += [NONE] * (leaves - n + 1)
+    rows = [row]
+    while len(row) > 1:
+        row = [a if a < b else b for a, b in zip(row[::2], row[1::2])]
+        rows.append(row)
+    tree = [NONE]
+    for row in reversed(rows):
+        tree += row
+    out, after, before = symbols[:], [*range(1, n), -1], [*range(-1, n - 1)]
     while (top := tree[1]) != NONE:
         i = top % n
         j = after[i]
-        out[i] = merges[out[i], out[j]][1]
+        left = out[i] = lookup((out[i], out[j]))[1]
         out[j] = -1
         k = after[i] = after[j]
+        h = before[i]
+        m = None
         if k >= 0:
             before[k] = i
-        if j < n - 1:
-            put(j, NONE)
-        m = lookup((out[i], out[k])) if k >= 0 else None
-        put(i, NONE if m is None else m[0] * n + i)
-        if (h := before[i]) >= 0:
-            m = lookup((out[h], out[i]))
-            put(h, NONE if m is None else m[0] * n + h)
+            m = lookup((left, out[k]))
+        a = b = leaves + i
+        tree[b] = NONE if m is None else m[0] * n + i
+        c = leaves + j if k >= 0 else b
+        tree[c] = NONE if c != b else tree[b]
+        if h >= 0:
+            m = lookup((out[h], left))
+            a = leaves + h
+            tree[a] = NONE if m is None else m[0] * n + h
+        while a > 1:  # the paths of the changed leaves, together where they meet
+            a >>= 1
+            b >>= 1
+            c >>= 1
+            x, y = tree[2 * a], tree[2 * a + 1]
+            tree[a] = x if x < y else y
+            if b != a:
+                x, y = tree[2 * b], tree[2 * b + 1]
+                tree[b] = x if x < y else y
+            if c != b:
+                x, y = tree[2 * c], tree[2 * c + 1]
+                tree[c] = x if x < y else y
     return [s for s in out if s >= 0]
 
 
@@ -110,14 +113,20 @@ class BpeTokenizer:
         whole = Tokenizer.from_str(text)
         self.normalise, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.plain = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.symbols = byte_symbols()
-        self.pieces: dict[str, list[int]] = {}
+        symbols = byte_symbols()
+        self.bytes = {c: b for b, c in enumerate(symbols)}
+        self.inner = [self.vocab[c] for c in symbols]
+        self.final = [self.vocab[c + self.suffix] for c in symbols]
+        self.pieces: dict[bytes, list[int]] = {}
         self.chunks: dict[str, list[int]] = {}
 
-    def _piece(self, piece: str) -> list[int]:
-        """Ids of one piece, already spelled in byte symbols."""
+    def _piece(self, piece: bytes) -> list[int]:
+        """Ids of one piece."""
         if (ids := self.pieces.get(piece)) is None:
-            ids = merge_piece([self.vocab[c] for c in piece[:-1]] + [self.vocab[piece[-1] + self.suffix]], self.merges)
+            inner = self.inner
+            ids = [inner[b] for b in piece]
+            ids[-1] = self.final[piece[-1]]
+            ids = merge_piece(ids, self.merges)
             if len(self.pieces) >= MEMORY:
                 self.pieces.clear()
             if len(piece) <= MEMORABLE:
@@ -127,13 +136,12 @@ class BpeTokenizer:
     def _ordinary(self, text: str) -> list[int]:
         if not text:
             return []
-        if max(text) < "ɐ" and "İ" not in text and text.isprintable() and unicodedata.is_normalized("NFC", text):
-            pieces = self.plain.findall(text.lower())
-            if not text.isascii():
-                pieces = ["".join([self.symbols[b] for b in p.encode()]) for p in pieces]
-        else:
-            pieces = [p for p, _ in self.split(self.normalise(text))]
-        return [i for p in pieces for i in self._piece(p)]
+        if text.isascii() or (max(text) < "ɐ" and "İ" not in text and unicodedata.is_normalized("NFC", text)):
+            if text.isalpha():  # letters alone are one piece
+                return self._piece(text.lower().encode())
+            if text.isprintable():
+                return [i for p in self.plain.findall(text.lower()) for i in self._piece(p.encode())]
+        return [i for p, _ in self.split(self.normalise(text)) for i in self._piece(bytes([self.bytes[c] for c in p]))]
 
     def _chunk(self, chunk: str) -> list[int]:
         ids: list[int] = []
