@@ -23,7 +23,8 @@ def test_layouts_give_the_same_turns(spark):
     known = chat.Registry()
     for r in records:
         assert chat.canonical_turns(r, known.find(r)) == TURNS, r
-    assert chat.canonical_turns(r := {"system": "s", "instruction": "a", "input": "b", "output": "c"}, known.find(r)) == [("system", "s"), ("user", "a\n\nb"), ("assistant", "c")]
+    long = {"system": "s", "instruction": "a", "input": "b", "output": "c"}
+    assert chat.canonical_turns(long, known.find(long)) == [("system", "s"), ("user", "a\n\nb"), ("assistant", "c")]
     rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, None), (91, "{broken"), (92, '{"other": 1}'), (93, "[]")]
     found = chat.format_records(spark.createDataFrame(rows, "conv_id long, record string")).collect()
     assert len({r.formatted for r in found if r.conv_id < 90}) == 1
