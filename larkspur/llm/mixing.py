@@ -22,6 +22,8 @@ from .common import WORD, cut
 
 LEVEL_BITS, LEVELS = 12, 4
 KEY_BITS = LEVEL_BITS * LEVELS
+#: Tables with a row per source are broadcast up to this many rows (under 1 MB).
+BROADCAST_SOURCES = 10_000
 
 
 @dataclass(frozen=True)
@@ -62,6 +64,11 @@ def targets(sizes: list[int], weights: tuple[float, ...] = (5, 2, 1), share: flo
     return out
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` marked for broadcast if it has few rows; beyond that Spark joins it as it sees fit."""
+    return F.broadcast(table) if rows <= BROADCAST_SOURCES else table
+
+
 def _thresholds(spark: SparkSession, keyed: DataFrame, budgets: dict[int, float]) -> dict[int, int]:
     """Per source number the 48-bit threshold below which words sum to about its budget."""
     prefix, left, found = dict.fromkeys(budgets, 0), dict(budgets), {}
@@ -71,7 +78,7 @@ def _thresholds(spark: SparkSession, keyed: DataFrame, budgets: dict[int, float]
         shift = KEY_BITS - LEVEL_BITS * (level + 1)
         edge = spark.createDataFrame([(k, prefix[k], float(left[k])) for k in left], "number int, prefix long, budget double")
         bucket = F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
-        inside = keyed.join(edge, "number").filter(F.shiftrightunsigned("key", shift + LEVEL_BITS) == F.col("prefix"))
+        inside = keyed.join(_small(edge, len(left)), "number").filter(F.shiftrightunsigned("key", shift + LEVEL_BITS) == F.col("prefix"))
         sums = inside.groupBy("number", "budget", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
         running = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("number").orderBy("bucket")))
         cross = running.filter("upto > budget").groupBy("number").agg(F.min(F.struct("bucket", "upto", "words")).alias("at"))
@@ -100,17 +107,19 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     budgets = {k: aims[k] - whole[k] * totals[s] for k, s in enumerate(names) if whole[k] < cap and totals[s]}
     if names:
         numbers = spark.createDataFrame(list(enumerate(names)), "number int, name string")
-        keyed = sized.join(numbers, F.col("source").eqNullSafe(F.col("name"))).select("number", "key", "size").filter("size > 0")
+        keyed = sized.join(_small(numbers, len(names)), F.col("source").eqNullSafe(F.col("name"))).select("number", "key", "size").filter("size > 0")
         edges = _thresholds(spark, keyed, {k: b for k, b in budgets.items() if b > 0})
     else:
         edges = {}
     return [MixPlan(s, totals[s], aims[k], whole[k], edges.get(k, 0)) for k, s in enumerate(names)], sized
 
 
-def _joined(rows: DataFrame, plans: list[MixPlan]) -> DataFrame:
-    schema = "mix_source string, source_size long, target double, mix_whole int, mix_threshold long"
+def _with_plan(rows: DataFrame, plans: list[MixPlan], key: Column) -> tuple[DataFrame, Column, Column, Column]:
+    """``rows`` with their source's plan; its size and target, and the copies that it takes of a row."""
+    schema = "mix_source string, source_size long, target double, whole int, threshold long"
     table = rows.sparkSession.createDataFrame([(p.source, p.source_size, p.target, p.whole, p.threshold) for p in plans], schema)
-    return rows.join(table, F.col("source").cast("string").eqNullSafe(F.col("mix_source")))
+    joined = rows.join(_small(table, len(plans)), rows["source"].cast("string").eqNullSafe(table["mix_source"]))
+    return joined, table["source_size"], table["target"], table["whole"] + (key < table["threshold"]).cast("int")
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
@@ -121,13 +130,12 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     table gives an empty result; further columns are ignored.
     """
     plans, sized = plan_mix(docs.select("doc_id", "text", "source"), **options)
-    copies = F.col("mix_whole") + (F.col("key") < F.col("mix_threshold")).cast("int")
-    return _joined(sized, plans).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
+    joined, source_size, target, copies = _with_plan(sized, plans, sized["key"])
+    return joined.select("doc_id", "size", source_size, target, (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: each row of ``docs`` as many times as its source's plan takes it."""
     plans, _ = plan_mix(docs.select("doc_id", "text", "source"), **options)
-    copies = F.col("mix_whole") + (hash_key(docs) < F.col("mix_threshold")).cast("int")
-    taken = _joined(docs, plans).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return taken.select(*[docs[c] for c in docs.columns])
+    joined, _, _, copies = _with_plan(docs, plans, hash_key(docs))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).drop("__copy")
