@@ -20,6 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
+#: Ids of sampled documents are broadcast up to this many (about 1 MB).
+BROADCAST_IDS = 100_000
 EDGE = " "
 UNKNOWN = "und"
 
@@ -58,7 +62,9 @@ def learn_profiles(docs: DataFrame, train: Column, per_language: int = 400, plac
     """
     labelled = docs.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id").distinct()
+    chosen = cut(labelled.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id").distinct())
+    if chosen.count() <= BROADCAST_IDS:  # per_language times the languages; very many languages are joined by shuffle
+        chosen = F.broadcast(chosen)
     sample = docs.filter(train & F.col("lang").isNotNull()).join(chosen, "doc_id", "left_semi").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
