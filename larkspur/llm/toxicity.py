@@ -151,7 +151,7 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, max_labelled: int
     """
     known = labels.filter(train & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled ids
 
 
 def _lower_bound(hits: float, n: float, z: float = 2.2) -> float:
