@@ -112,5 +112,34 @@ with t as (
   from t group by text_sha256
 )
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (text_sha256)
+""",
+    "op6_embedding_dedup": r"""
+with recursive v as (
+  select vec_id, label, embedding::double[] as x from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
+), u as (select *, sqrt(list_dot_product(x, x)) as norm from v), w as (select * from u where norm > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from w a join w b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+  where list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93
+), reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+low as (select a, min(b) as b from reach group by a), n as (select a, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0) as n_links, least(vec_id, coalesce(low.b, vec_id)) as component_id, vec_id <= coalesce(low.b, vec_id) as kept
+from embeddings left join low on low.a = vec_id left join n on n.a = vec_id
+""",
+    "op9_chat": r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e as (
+  select *, length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e')) as chars,
+    length(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\e'), chr(10), '\n')) as role_chars from t
+), g as (
+  select conv_id, count(*) as n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as said,
+    coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '') as trained,
+    sum(4 + role_chars + 2 + chars + 9)::bigint as formatted_chars
+  from e group by conv_id
+)
+select conv_id, n_turns, sha256(said) as turns_sha256, length(trained) as loss_chars, sha256(trained) as loss_sha256, formatted_chars from g
 """,
 }
