@@ -38,6 +38,8 @@ SEED_WEIGHT, THREAT_WEIGHT = 3.0, 3.0
 NEAR_TARGET, NEGATED, QUOTED = 1.25, 0.5, 0.7
 TARGET_SPAN, NEGATION_SPAN, THREAT_SPAN = 4, 3, 3
 STEMS = (4, 5, 6, 7)
+#: A learned word or stem occurs at least so many times as often in toxic documents as in clean ones.
+PURITY = 12
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 STOPS = frozenset(".!?;:\n")
@@ -185,7 +187,7 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, train: Column, max_labelle
     if len(totals) < 2:
         return SEED
     base = totals[1] / (totals[0] + totals[1])
-    rows = counts.filter("toxic >= 4 and toxic >= 4 * clean").orderBy(F.desc(F.col("toxic") - 4 * F.col("clean")), "term").limit(max_entries).collect()
+    rows = counts.filter(f"toxic >= 4 and toxic >= {PURITY} * clean").orderBy(F.desc(F.col("toxic") - PURITY * F.col("clean")), "term").limit(max_entries).collect()
     words, stems = dict(SEED.insults), {}
     for r in rows:
         low = _lower_bound(r.toxic, r.toxic + r.clean)
