@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from . import rules as R
 
-NO_RULE = len(R.SUFFIXES) + 1
-PLURAL_RULES = [i for i, (s, _) in enumerate(R.SUFFIXES, 1) if s in R.PLURALS]
+#: A stem of the least length and an ending; a shorter stem, so a longer ending, is tried first. No plural after a double s.
+SUFFIX_PATTERN = rf"^.{{{R.MIN_STEM},}}?({'|'.join('(?<!s)s' if s == 's' else s for s, _ in R.SUFFIXES)})$"
+REPLACEMENTS = {new: [s for s, n in R.SUFFIXES if n == new] for _, new in R.SUFFIXES if new}
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -40,28 +41,25 @@ def tokenize(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(R.TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _suffix_applies(token: Column, suffix: str) -> Column:
-    fits = token.endswith(suffix) & (F.length(token) >= len(suffix) + R.MIN_STEM)
-    return fits & ~token.endswith("ss") if suffix in ("s", "es") else fits
+def suffix_of(token: Column) -> Column:
+    """The ending that a token loses, or the empty string: of the rules that fit, the first and longest.
 
-
-def suffix_rule(token: Column) -> Column:
-    """Number of the rule that applies to a token, from 1; one more than the last if none does."""
-    out = None
-    for number, (suffix, _) in enumerate(R.SUFFIXES, 1):
-        out = F.when(_suffix_applies(token, suffix), number) if out is None else out.when(_suffix_applies(token, suffix), number)
-    return out.otherwise(NO_RULE)
+    One regular expression keeps the generated code small enough to be compiled; a long
+    chain of conditions would run interpreted.
+    """
+    return F.regexp_extract(token, SUFFIX_PATTERN, 1)
 
 
-def apply_rule(token: Column, rule: Column) -> Column:
-    cut = F.element_at(F.array(*[F.lit(len(s)) for s, _ in R.SUFFIXES], F.lit(0)), rule)
-    new = F.element_at(F.array(*[F.lit(n) for _, n in R.SUFFIXES], F.lit("")), rule)
-    return F.concat(F.left(token, F.length(token) - cut), new)
+def without_suffix(token: Column, suffix: Column) -> Column:
+    new = F.lit("")
+    for ending, gone in REPLACEMENTS.items():
+        new = F.when(suffix.isin(*gone), ending).otherwise(new)
+    return F.concat(F.left(token, F.length(token) - F.length(suffix)), new)
 
 
-def second_rule(once: Column, first: Column) -> Column:
-    """After a plural another rule may apply."""
-    return F.when(first.isin(*PLURAL_RULES), suffix_rule(once)).otherwise(NO_RULE)
+def second_suffix(once: Column, first: Column) -> Column:
+    """After a plural another ending may go."""
+    return F.when(first.isin(*R.PLURALS), suffix_of(once)).otherwise("")
 
 
 def finished_stem(token: Column, twice: Column) -> Column:
@@ -81,22 +79,22 @@ def half_up(value: Column, places: int) -> Column:
 
 def stem(token: Column) -> Column:
     """Stem of one token; short tokens and tokens with a digit stay. For columns of tokens see ``stemmed``."""
-    once = lambda r: F.struct(r.alias("r"), apply_rule(token, r).alias("o"))
-    twice = lambda s: apply_rule(s["o"], second_rule(s["o"], s["r"]))
-    return let(let(let(suffix_rule(token), once), twice), lambda t: finished_stem(token, t))
+    once = lambda s: F.struct(s.alias("s"), without_suffix(token, s).alias("o"))
+    again = lambda x: F.struct(x["o"].alias("o"), second_suffix(x["o"], x["s"]).alias("s"))
+    return let(let(let(let(suffix_of(token), once), again), lambda x: without_suffix(x["o"], x["s"])), lambda t: finished_stem(token, t))
 
 
 def stemmed(rows: DataFrame, token: str, name: str) -> DataFrame:
-    """``rows`` with the stem of column ``token`` as ``name``, in layers of code-generated expressions.
+    """``rows`` with the stem of column ``token`` as ``name``, in layers of small expressions.
 
     The stem is never null (a null token gives the empty stem), so that joins on it infer
     no null check; pushed below the layers such a check would unfold all of them.
     """
-    one = rows.withColumn("__r", suffix_rule(F.col(token)))
-    two = one.withColumn("__o", apply_rule(F.col(token), F.col("__r")))
-    three = two.withColumn("__r", second_rule(F.col("__o"), F.col("__r")))
-    four = three.withColumn("__o", apply_rule(F.col("__o"), F.col("__r")))
-    return four.withColumn(name, F.coalesce(finished_stem(F.col(token), F.col("__o")), F.lit(""))).drop("__r", "__o")
+    one = rows.withColumn("__s", suffix_of(F.col(token)))
+    two = one.withColumn("__o", without_suffix(F.col(token), F.col("__s")))
+    three = two.withColumn("__s", second_suffix(F.col("__o"), F.col("__s")))
+    four = three.withColumn("__o", without_suffix(F.col("__o"), F.col("__s")))
+    return four.withColumn(name, F.coalesce(finished_stem(F.col(token), F.col("__o")), F.lit(""))).drop("__s", "__o")
 
 
 def surface_terms(tokens: Column) -> Column:

@@ -1,9 +1,8 @@
 """Inverted index and BM25 as tables.
 
 The index is three tables: postings (chunk_id, term, tf), document frequencies
-(term, df) and one row of corpus statistics. One explode, one shuffle: a chunk's terms
-are counted in the task that tokenised it, and stemming is a code-generated expression
-on the exploded rows. Statistics are corpus-wide; filters only touch the postings that
+(term, df) and one row of corpus statistics. One explode, one shuffle: texts are dealt
+out by chunk, and all that follows per chunk stays in the same task. Statistics are corpus-wide; filters only touch the postings that
 are scored.
 """
 
@@ -23,8 +22,14 @@ def exploded_terms(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, term, tf)."""
-    return exploded_terms(chunks, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf).
+
+    Texts are dealt out by key once; counting tokens, stemming the different ones of a
+    chunk and counting terms then need no further shuffle.
+    """
+    tokens = chunks.select(key, F.col(text).alias("__text")).repartition(key).select(key, F.explode(T.surface_terms(T.tokenize(F.col("__text")))).alias("token"))
+    counted = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    return T.stemmed(counted, "token", "term").groupBy(key, "term").agg(F.sum("n").alias("tf"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
