@@ -55,18 +55,17 @@ def bm25(questions: DataFrame, chunks: DataFrame, allowed: DataFrame | None = No
     term: frequencies are joined to the few question terms first, so the wide side is
     shuffled once and only with the terms that are asked for.
     """
-    posted = postings(chunks, key, text)
-    sized = lengths(chunks, posted, key)
+    posted = postings(chunks, key, text).withColumn("length", F.sum("tf").over(Window.partitionBy(key)))
     asked = exploded_terms(questions, "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = posted.join(asked.select("term").distinct(), "term", "left_semi")
+    # dealt out by both columns: a term that is in every chunk is spread, and both uses below share the exchange
+    wanted = posted.join(asked.select("term").distinct(), "term", "left_semi").repartition("term", key)
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = wanted if allowed is None else wanted.join(allowed.select(key), key, "left_semi")
-    stats = corpus_stats(sized)
+    stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.surface_terms(T.tokenize(F.col(text)))).cast("double")).alias("avg_length"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("length") / F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(1.0))
     weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avg_length", (F.col("times") * idf).alias("weight"))  # one row of statistics
-    hits = scored.join(weights, "term").join(sized, key)
-    total = hits.groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("tf") * (R.BM25_K1 + 1) / norm).alias("score"))
+    total = scored.join(weights, "term").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("tf") * (R.BM25_K1 + 1) / norm).alias("score"))
     return total.filter("score > 0")
 
 
