@@ -2,8 +2,9 @@
 
 * memtable: each task digests its slice of the documents and flushes it as one run,
   sorted by digest, as a Parquet file with a Bloom filter and min/max statistics on
-  the digest (the run's filter);
-* compaction: the runs merge into one entry per digest that keeps the best
+  the digest (the run's filter, which is written only: no probe reads it);
+* compaction: a grouped minimum over all runs, no merge by level, makes one entry
+  per digest that keeps the best
   identifier (longest original text, then smallest doc_id) and the group's size;
   minima and counts combine map-side, so a group with a third of all rows is a few
   rows per task by the time it is shuffled;
