@@ -14,7 +14,6 @@ knows will do.
 from __future__ import annotations
 
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +48,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, eod: int)
         if max(own.names) > 0xFFFF:
             raise ValueError("ids beyond 16 bits")
         for batch in batches:
-            tokens = [array("H", own.encode(t.as_py())).tobytes() for t in batch.column(1)]
+            tokens = [np.frombuffer(ids, "<u4").astype("<u2").tobytes() for ids in own.encode_texts(batch.column(1).to_pylist())]
             names = [bytes(ID_BYTES) if i is None else b"\x01" + i.to_bytes(8, "big", signed=True) for i in batch.column(0).to_pylist()]
             for kind, values in (("ids", names), ("tokens", tokens)):
                 yield pa.record_batch([batch.column(0), pa.array([kind] * len(values), pa.string()), pa.array(values, pa.binary())], names=["doc_id", "kind", "value"])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from larkspur.llm import bpe
 from larkspur.llm.queries import tokenizer_path
@@ -52,14 +53,35 @@ def test_segment_tree_merges_the_leftmost_lowest():
         assert bpe.merge_piece(word, merges) == naive(word, merges)
 
 
-def test_memory_is_bounded(file, monkeypatch):
+def test_trees_of_many_pieces_equal_one_tree_each():
+    r = random.Random(5)
+    for width in (2, 4, 8, 16, 32):
+        merges, pairs = {}, [(a, b) for a in range(9) for b in range(9)]
+        r.shuffle(pairs)
+        for rank, p in enumerate(pairs[:30]):
+            merges[p] = (rank, r.randrange(9))
+        words = [[r.randrange(6) for _ in range(r.randint(1, width))] for _ in range(400)]
+        rows = bpe.merge_together(np.array([w + [-1] * (width - len(w)) for w in words]), bpe.PairTable(merges))
+        assert [[s for s in row if s >= 0] for row in rows.tolist()] == [naive(w, merges) for w in words]
+
+
+def test_pair_table_finds_all_merges_and_no_other():
+    r = random.Random(6)
+    merges = {(r.randrange(50_000), r.randrange(50_000)): (k, r.randrange(50_000)) for k in range(5000)}
+    table = bpe.PairTable(merges)
+    asked = [*merges, *((r.randrange(50_000), r.randrange(50_000)) for _ in range(5000))]
+    rank, made = table.find(*np.array(asked).T)
+    assert [*zip(rank.tolist(), made.tolist(), strict=True)] == [merges.get(p, (bpe.NONE, -1)) for p in asked]
+
+
+def test_memory_is_bounded_and_keeps_what_is_frequent(file, monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 50)
     own, whole = bpe.BpeTokenizer(file), bpe.BpeTokenizer(file)
-    words = " ".join(f"word{i}x" for i in range(500))
-    ids = own.encode(words)
-    assert len(own.chunks) <= 50 and len(own.pieces) <= 50
+    texts = [" ".join([f"word{i}x{j}" for j in range(30)] + ["often", "y" * 100]) for i in range(20)]
+    ids = [own.encode(t) for t in texts]
+    assert len(own.young) < 50 + 32 and len(own.old) < 50 + 32 and "often" in own.young and "y" * 100 not in own.young
     monkeypatch.setattr(bpe, "MEMORY", 10**6)
-    assert ids == whole.encode(words)
+    assert ids == [whole.encode(t) for t in texts] == [bpe.unpacked(i) for i in whole.encode_texts(texts)]
 
 
 def test_tables(spark, file):
