@@ -47,7 +47,7 @@ def test_matches_brute_force_with_small_windows_and_tiles(spark):
     df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int, n_links int")
     want = brute(rows)
     for window, tile in ((4, 7), (32, 2048)):
-        found = vectors.near_duplicates(df, passes=8, window=window, tile=tile).collect()
+        found = vectors.near_duplicates(df, window=window, tile=tile, recall=0.9999).collect()
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in found)
 
@@ -61,5 +61,46 @@ def test_recall_on_the_test_table(spark, sf_dir):
     assert sum(found.values()) >= 0.9 * sum(want.values()) and all(found[v] <= want[v] for v in want)
 
 
+def planted(r, n, centre_share):
+    """Unit vectors around a common direction, and as many near pairs (cosine 0.93 to 0.95) as a fifth of them."""
+    centre = r.standard_normal(64)
+    centre *= np.sqrt(centre_share) / np.linalg.norm(centre)
+    crowd = r.standard_normal((n, 64))
+    crowd = centre + crowd * (np.sqrt(1 - centre_share) / np.linalg.norm(crowd, axis=1, keepdims=True))
+    crowd /= np.linalg.norm(crowd, axis=1, keepdims=True)
+    near = []
+    for x in crowd[: n // 5]:
+        y = r.standard_normal(64)
+        y -= (y @ x) * x
+        c = r.uniform(0.9305, 0.95)
+        near.append(c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y))
+    return np.concatenate((crowd, near)).astype(np.float32)
+
+
+def test_passes_grow_until_recall_holds(spark):
+    """Many more vectors in a label than a window, spread out or crowded: 0.9 of planted pairs at the threshold's edge."""
+    r = np.random.default_rng(3)
+    for share, window in ((0.0, 32), (0.6, 64)):
+        x = planted(r, 4000, share)
+        df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+        found = {t.vec_id: t.component_id for t in vectors.near_duplicates(df, window=window).collect()}
+        assert sum(found[4000 + i] == found[i] for i in range(800)) >= 0.9 * 800
+        depths = vectors.passes_needed(np.array([0.0] * 16 + [100.0] + [0.0] * (vectors.BINS - 17)), 0.97)
+        assert (1 - 2.0**-4) ** depths <= 0.03 < (1 - 2.0**-4) ** (depths - 1)
+
+
+def test_hot_group_of_near_copies_and_small_partitions(spark):
+    r = np.random.default_rng(5)
+    hot = r.standard_normal(16) + 0.02 * r.standard_normal((300, 16))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate((hot, r.standard_normal((60, 16)))).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")  # fewer rows in a partition than in a window
+    try:
+        found = vectors.near_duplicates(df, window=50, tile=64).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((t.vec_id, t.n_links, t.component_id) for t in found) == brute(rows)
+
+
 def test_empty_table(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
