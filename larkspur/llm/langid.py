@@ -3,10 +3,10 @@
 A language's profile ranks its most frequent letter n-grams (one to three letters,
 word edges included). A text ranks its own the same way, and each language is as far
 as the sum of the places by which its ranks differ; an n-gram outside the language's
-profile counts the most. N-grams that no profile holds would add the same to every
-language and are left out. Profiles are learned from a bounded sample of labelled
-documents (``per_language`` each, smallest hashes first); every text is then ranked
-whole, by counting with array operations.
+profile counts the most. All of a text's n-grams are ranked, those that no profile holds
+too. Profiles are learned from a bounded sample of labelled documents (``per_language``
+each, smallest hashes first); every text is then ranked whole, by counting with array
+operations: an n-gram is a number made of its code points, so any alphabet will do.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ UNKNOWN = "und"
 
 
 def letters_only(text: str) -> str:
-    """Lower-cased text with one blank for each run of other characters, and at both ends."""
-    return f" {' '.join(''.join(c if c.isalpha() else ' ' for c in text.lower()).split())} "
+    """Lower-cased text with one blank for each run of other characters, and at both ends; empty without letters."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    return f" {' '.join(words)} " if words else ""
 
 
 def ngrams(text: str) -> Iterator[str]:
@@ -82,57 +83,58 @@ def learn_profiles(docs: DataFrame, train: Column, per_language: int = 400, plac
     return Profiles(names, tuple(tuple(r.gram for r in sorted((r for r in rows if r.lang == name), key=lambda r: r.place)) for name in names))
 
 
+#: Bits of a code point, and the number that stands for a word's edge (no letter has it).
+POINT, EDGE_CODE = 21, 1
+
+
+def _letter_codes() -> np.ndarray:
+    """Each code point's own number if it is a letter, else the edge's."""
+    return np.array([c if chr(c).isalpha() else EDGE_CODE for c in range(0x110000)], np.int32)
+
+
 class Ranker:
-    """Out-of-place distances of texts, with n-grams numbered over a small alphabet."""
+    """Out-of-place distances of texts."""
 
     def __init__(self, profiles: Profiles, places: int):
-        self.languages, self.places = profiles.languages, places
-        known = profiles.known
-        alphabet = sorted({c for g in known for c in g if c != EDGE})
-        self.size = len(alphabet) + 2  # 0: edge, 1: any other letter
-        self.code = np.zeros(0x110000, np.uint8 if self.size < 256 else np.uint16)
-        for c in range(0x110000):
-            if chr(c).isalpha():
-                self.code[c] = 1
-        for i, c in enumerate(alphabet):
-            self.code[ord(c)] = i + 2
-        self.tables = [np.full(self.size**n, len(known), np.int32) for n in (1, 2, 3)]
-        for k, gram in enumerate(known):
-            at = 0
-            for c in gram:
-                at = at * self.size + (0 if c == EDGE else int(self.code[ord(c)]))
-            self.tables[len(gram) - 1][at] = k
-        self.known = len(known)
-        self.rank = np.full((len(self.languages), self.known), -1, np.int64)
+        self.languages, self.places, self.letters = profiles.languages, places, _letter_codes()
+        keys = {self.key(g): g for g in profiles.known}
+        self.keys = np.array(sorted(keys), np.int64)
+        self.rank = np.full((len(self.languages), len(keys)), -1, np.int64)
         for row, grams in zip(self.rank, profiles.ranked, strict=True):
             place = {g: i for i, g in enumerate(grams)}
-            row[:] = [place.get(g, -1) for g in known]
-
-    def counts(self, text: str) -> np.ndarray | None:
-        """Occurrences of each known n-gram; None if the text has no letter."""
-        codes = self.code[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)].astype(np.int64)
-        if not codes.any():
+            row[:] = [place.get(keys[k], -1) for k in self.keys.tolist()]
+
+    @staticmethod
+    def key(gram: str) -> int:
+        at = 0
+        for c in gram:
+            at = at << POINT | (EDGE_CODE if c == EDGE else ord(c))
+        return at
+
+    def ranked(self, text: str) -> np.ndarray | None:
+        """A text's most frequent n-grams, as numbers; at ties shorter ones, then smaller code points first. None if it has no letter."""
+        codes = self.letters[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)].astype(np.int64)
+        if (codes == EDGE_CODE).all():
             return None
-        codes = np.concatenate(([0], codes, [0]))
-        codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]  # one edge for each run
-        two = codes[:-1] * self.size + codes[1:]
-        three = two[:-1] * self.size + codes[2:]
-        found = np.concatenate((self.tables[0][codes[codes != 0]], self.tables[1][two], self.tables[2][three[codes[1:-1] != 0]]))
-        return np.bincount(found, minlength=self.known + 1)[: self.known]
+        codes = np.concatenate(([EDGE_CODE], codes, [EDGE_CODE]))
+        inside = codes != EDGE_CODE
+        keep = np.concatenate(([True], inside[1:] | inside[:-1]))  # one edge for each run
+        codes, inside = codes[keep], inside[keep]
+        two = codes[:-1] << POINT | codes[1:]
+        three = (two[:-1] << POINT | codes[2:])[inside[1:-1]]
+        grams, counts = np.unique(np.concatenate((codes[inside], two, three)), return_counts=True)
+        return grams[np.argsort(-counts, kind="stable")[: self.places]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Nearest language and 1 - its distance as a share of the largest possible one."""
-        seen = self.counts(text) if text and self.languages else None
-        if seen is None:
+        own = self.ranked(text) if text and self.languages else None
+        if own is None:
             return UNKNOWN, 0.0
-        order = np.argsort(-seen, kind="stable")[: self.places]
-        order = order[seen[order] > 0]
-        if not len(order):
-            return UNKNOWN if not self.languages else self.languages[0], 0.0
-        there = self.rank[:, order]
-        away = np.where(there < 0, self.places, np.abs(there - np.arange(len(order)))).sum(axis=1)
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        there = np.where(self.keys[at] == own, self.rank[:, at], -1)
+        away = np.where(there < 0, self.places, np.abs(there - np.arange(len(own)))).sum(axis=1)
         best = int(np.argmin(away))
-        return self.languages[best], float(np.clip(1 - away[best] / (self.places * len(order)), 0.0, 1.0))
+        return self.languages[best], float(np.clip(1 - away[best] / (self.places * len(own)), 0.0, 1.0))
 
 
 _rankers: dict[Profiles, Ranker] = {}
