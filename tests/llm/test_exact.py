@@ -36,19 +36,42 @@ def test_bytes_decide_when_digests_collide(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in found) == sorted((d, k, n) for d, k, n, _ in brute(rows))
 
 
-def test_hot_group_in_slices(spark):
-    rows = [(i, "the same", "x", 1) for i in range(100)]
+def test_levels_and_filters_of_several_batches(spark):
+    rows = [(i, f"text {i % 40}", "x", 1) for i in range(120)] + [(500, None, "x", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    index = exact.DigestIndex(spark)
-    index.flush(docs.limit(40))
-    index.flush(docs.join(index.runs(), "doc_id", "left_anti").select(docs.columns))  # a second batch of runs
-    found = index.lookup()
-    assert found.count() == 100 and {r.keep_id for r in found.collect()} == {0}
-    assert exact.collisions(docs, found, slice_rows=8).count() == 0
-    other = docs.withColumn("text", F.when(F.col("doc_id") == 50, "other").otherwise(F.col("text")))
-    same = lambda body: F.unhex(F.lit("00"))
-    everything = found.withColumn("digest", F.unhex(F.lit("00")))
-    assert exact.collisions(other, everything, same, slice_rows=8).count() == 1
+    index = exact.DigestIndex(spark, memtable=7, fan=2)
+    for k in range(5):
+        index.flush(docs.filter(F.col("doc_id") % 5 == k))
+    assert [len(level) for level in index.levels] == [1, 0, 1]  # two flushes of a level make one of the next
+    merged = {bytes(r.digest): (r.doc_id, r["size"]) for r in index.merged().collect()}
+    want = {d: (k, n) for _, k, n, d in brute(rows)}
+    assert {d.hex(): v for d, v in merged.items()} == want
+    batch = spark.createDataFrame([(900, "text 3", "x", 1), (901, "te xt 3", "x", 1), (902, "new", "x", 1), (903, "", "x", 1)], SCHEMA)
+    assert sorted((r.doc_id, r.keep_id) for r in index.known(batch).collect()) == [(900, 3), (901, 3), (903, 500)]
+
+
+def test_filter_has_no_false_negative(spark):
+    digests = spark.range(5000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id")
+    own = exact.DigestFilter.of(digests.filter("id < 3000"), 3000)
+    found = own.marked(digests, "in").groupBy((F.col("id") < 3000).alias("there"), "in").count().collect()
+    counts = {(r.there, r["in"]): r["count"] for r in found}
+    assert counts[True, True] == 3000 and (True, False) not in counts and counts[False, True] < 0.15 * 2000
+    none = exact.DigestFilter.of(digests.limit(0), 0)
+    assert none.marked(digests, "in").filter("in").count() == 0
+
+
+def test_hot_group(spark):
+    rows = [(i, "the same" if i < 600 else f"own {i // 2}", "x", 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert result(exact.exact_groups(docs)) == brute(rows)
+    assert sorted(r.doc_id for r in exact.drop_exact_duplicates(docs).collect()) == sorted({k for _, k, _, _ in brute(rows)})
+
+
+def test_drop_when_digests_collide(spark):
+    weak = lambda body: F.unhex(F.left(F.sha2(body, 256), F.lit(1)).cast("string"))
+    rows = [(i, f"text {i % 37}", "x", 1) for i in range(200)] + [(5, "text 5", "x", 1)]
+    kept = exact.drop_exact_duplicates(spark.createDataFrame(rows, SCHEMA), weak)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({k for _, k, _, _ in brute(rows)})
 
 
 def test_drop_keeps_one_row_of_each_group(spark):
