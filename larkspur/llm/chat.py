@@ -1,10 +1,13 @@
 """Chat formatting by schema fingerprints.
 
-A record's layout is recognised by its fingerprint: a hash of its sorted nested
-field paths (array levels as ``[]``), values left out. A registry maps fingerprints
-to declarative mappings - which path holds the turns, which fields hold role and
-text, or which flat fields follow each other as turns - and one interpreter turns any
-mapped record into canonical turns. New layouts are new entries, not new code.
+A record's layout is recognised by its fingerprint: a hash of all its nested field
+paths (array levels as ``[]``) with the kind of what is there: value, list or object. A
+registry maps fingerprints to declarative mappings - which paths hold lists of turns,
+which fields hold role and text, which flat fields follow each other as turns - and
+one interpreter turns any mapped record into canonical turns. New layouts are new
+entries, not new code. Only fields that are known to say nothing about turns, and
+unnamed plain values beside them, stay out of the fingerprint; a record of any other
+shape is refused rather than misread.
 
 The template writes each turn as ``### role:``, the text and ``</turn>``. Inside roles
 and texts the escape character and the control strings are replaced reversibly, so no
@@ -14,6 +17,7 @@ text can open, close or forge a turn. The loss mask covers the assistants' texts
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -30,99 +34,124 @@ OPEN, CLOSE = "### ", "</turn>"
 ESCAPES = {"\\": "\\b", "###": "\\h", "</turn>": "\\e", "\n": "\\n"}
 
 
+# Fields that tell nothing about turns, wherever they stand.
+IGNORED = frozenset("id uuid source dataset license lang language meta metadata score rating tags category timestamp created model weight".split())
+
+VALUE, LIST, OBJECT = "value", "list", "object"
+
+
 @dataclass(frozen=True)
-class Layout:
-    """A declarative mapping to turns.
+class Part:
+    """Where a layout's turns stand: a field that is one turn's text, or a list of turns.
 
-    ``turns``: path of an array of turns, with fields ``role`` and ``text``; or
-    ``flat``: (role, field) in order, fields that are missing or null left out;
-    fields in ``joined`` continue the turn before them after a blank line.
+    ``role``: the turn's role. ``turns``: names of the role and text fields of a list's
+    turns. ``optional`` parts may be absent. ``joined`` text continues the turn before it
+    after a blank line. ``unread`` parts belong to the layout but not to the conversation.
     """
 
-    name: str
-    turns: str = ""
+    path: str
     role: str = ""
-    text: str = ""
-    flat: tuple[tuple[str, str], ...] = ()
-    joined: tuple[str, ...] = ()
+    turns: tuple[str, str] = ()
+    optional: bool = False
+    joined: bool = False
+    unread: bool = False
+
+    def shapes(self) -> list[frozenset[tuple[str, str]]]:
+        """The (path, kind) sets that this part can have."""
+        if not self.turns:
+            return [frozenset({(self.path, VALUE)})] + [frozenset()] * self.optional
+        role, text = (f"{self.path}[].{f}" for f in self.turns)
+        listed, blocks = (self.path, LIST), f"{text}[]"
+        own = {listed, (f"{self.path}[]", OBJECT), (role, VALUE)}
+        plain = {(text, VALUE)}
+        block = {(text, LIST), (blocks, OBJECT), (f"{blocks}.type", VALUE), (f"{blocks}.text", VALUE)}
+        return [frozenset(s) for s in ({listed}, own, own | plain, own | block, own | plain | block)] + [frozenset()] * self.optional
+
+
+@dataclass(frozen=True)
+class Layout:
+    """A declarative mapping to turns: parts in order. ``spelling`` keeps roles as they are spelled."""
+
+    name: str
+    parts: tuple[Part, ...]
+    spelling: bool = False
 
-    def field_paths(self) -> list[tuple[str, ...]]:
-        """The field paths of each record shape that this layout reads."""
-        if self.turns:
-            own = (self.turns, f"{self.turns}[]", f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}")
-            return [tuple(sorted(own))]
-        names = [f for _, f in self.flat]
-        needed = [f for r, f in self.flat if r == "assistant"] + [next(f for r, f in self.flat if r == "user")]
-        free = [f for f in names if f not in needed]
-        return [tuple(sorted([*needed, *(f for k, f in enumerate(free) if mask >> k & 1)])) for mask in range(1 << len(free))]
+    def shapes(self) -> list[frozenset[tuple[str, str]]]:
+        return [frozenset().union(*chosen) for chosen in itertools.product(*(p.shapes() for p in self.parts))]
 
 
+CHAT = ("role", "content")
 #: Layouts in common use.
 LAYOUTS = (
-    Layout("turn rows", turns="turns", role="role", text="text"),
-    Layout("messages", turns="messages", role="role", text="content"),
-    Layout("conversations", turns="conversations", role="from", text="value"),
-    Layout("prompt-response", flat=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Layout("prompt-completion", flat=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
-    Layout("instruction", flat=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), joined=("input",)),
-    Layout("question-answer", flat=(("user", "question"), ("assistant", "answer"))),
+    Layout("turn rows", (Part("turns", turns=("role", "text")),), spelling=True),
+    Layout("messages", (Part("messages", turns=CHAT),)),
+    Layout("conversations", (Part("conversations", turns=("from", "value")),)),
+    Layout("prompt-response", (Part("system", "system", optional=True), Part("prompt", "user"), Part("response", "assistant"))),
+    Layout("prompt-completion", (Part("system", "system", optional=True), Part("prompt", "user"), Part("completion", "assistant"))),
+    Layout("instruction", (Part("system", "system", optional=True), Part("instruction", "user"), Part("input", "user", optional=True, joined=True), Part("output", "assistant"))),
+    Layout("question-answer", (Part("question", "user"), Part("answer", "assistant"))),
+    Layout("chat prompt, response", (Part("prompt", turns=CHAT), Part("response", "assistant"))),
+    Layout("chat prompt, chat completion", (Part("prompt", turns=CHAT), Part("completion", turns=CHAT))),
+    Layout("preference", (Part("prompt", "user"), Part("chosen", "assistant"), Part("rejected", unread=True))),
+    Layout("chat preference", (Part("prompt", turns=CHAT, optional=True), Part("chosen", turns=CHAT), Part("rejected", turns=CHAT, unread=True))),
 )
 
 
-def paths(value: object, at: str = "") -> set[str]:
-    """Nested field paths of a parsed record, itself left out."""
-    found: set[str] = set()
-    if isinstance(value, dict):
-        for k, v in value.items():
-            own = f"{at}.{k}" if at else k
-            found |= {own} | paths(v, own)
-    elif isinstance(value, list):
-        for v in value:
-            found |= {f"{at}[]"} | paths(v, f"{at}[]")
+def paths(value: object, at: str = "") -> set[tuple[str, str]]:
+    """(path, kind) of all that is in a parsed record, itself left out. Nulls count as absent, ignored fields too."""
+    found: set[tuple[str, str]] = set()
+    inner = [(f"{at}.{k}" if at else k, v) for k, v in value.items() if k not in IGNORED] if isinstance(value, dict) else [(f"{at}[]", v) for v in value] if isinstance(value, list) else []
+    for path, v in inner:
+        if v is not None:
+            found.add((path, OBJECT if isinstance(v, dict) else LIST if isinstance(v, list) else VALUE))
+            found |= paths(v, path)
     return found
 
 
-def path_hash(found: tuple[str, ...]) -> str:
-    return hashlib.sha1("\n".join(found).encode()).hexdigest()
-
-
-def fingerprint(record: object, mapped: frozenset[str]) -> str:
-    """Hash of the record's field paths, of those that some layout names."""
-    return path_hash(tuple(sorted(p for p in paths(record) if p in mapped)))
+def path_hash(found: frozenset[tuple[str, str]]) -> str:
+    return hashlib.sha1(json.dumps(sorted(found)).encode()).hexdigest()
 
 
 class Registry:
-    """Layouts by fingerprint. Fields that no layout names (ids, scores) don't change a fingerprint."""
+    """Layouts by fingerprint. Plain values at the top that no layout names (a rank, a title) don't change a fingerprint."""
 
     def __init__(self, layouts: tuple[Layout, ...] = LAYOUTS):
-        shapes = [(shape, layout) for layout in layouts for shape in layout.field_paths()]
-        self.mapped = frozenset(p for shape, _ in shapes for p in shape)
+        shapes = [(shape, layout) for layout in layouts for shape in layout.shapes()]
+        self.named = frozenset(path for shape, _ in shapes for path, _ in shape)
         self.by_hash: dict[str, Layout] = {}
         for shape, layout in shapes:
             self.by_hash.setdefault(path_hash(shape), layout)
 
+    def fingerprint(self, record: object) -> str:
+        return path_hash(frozenset((p, k) for p, k in paths(record) if p in self.named or k != VALUE or "." in p or "[" in p))
+
     def find(self, record: object) -> Layout | None:
-        return self.by_hash.get(fingerprint(record, self.mapped))
+        return self.by_hash.get(self.fingerprint(record))
 
 
 def _text(value: object) -> str:
+    """A text; the text blocks of a list one after the other."""
+    if isinstance(value, list):
+        return "".join(_text(block.get("text")) for block in value)
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
 def canonical_turns(record: dict, layout: Layout) -> list[tuple[str, str]]:
     """(role, text) in order. Null texts are empty; unknown roles keep their spelling."""
-    if layout.turns:
-        return [(ROLE_NAMES.get(_text(t.get(layout.role)), _text(t.get(layout.role))), _text(t.get(layout.text))) for t in record[layout.turns]]
     out: list[tuple[str, str]] = []
-    for role, field in layout.flat:
-        if record.get(field) is None and role != "assistant":
+    for part in layout.parts:
+        value = record.get(part.path)
+        if part.unread or (value is None and part.role != "assistant"):
             continue
-        text = _text(record.get(field))
-        if field in layout.joined and out:
-            if text:
-                out[-1] = (role, f"{out[-1][1]}\n\n{text}")
+        if part.turns:
+            for turn in value or []:
+                role, text = (_text((turn or {}).get(f)) for f in part.turns)
+                out.append((role if layout.spelling else ROLE_NAMES.get(role, role), text))
+        elif part.joined and out:
+            if text := _text(value):
+                out[-1] = (part.role, f"{out[-1][1]}\n\n{text}")
         else:
-            out.append((role, text))
+            out.append((part.role, _text(value)))
     return out
 
 
@@ -164,8 +193,9 @@ def format_records(records: DataFrame, registry: Registry | None = None) -> Data
     """(conv_id, layout, formatted, loss) from (conv_id, record), a record being a JSON object.
 
     ``loss`` holds the mask's spans. A null record, broken JSON or an unknown layout
-    gives a null layout, an empty text and no spans. Rows stay as they are, repeats
-    included; an empty table gives an empty result.
+    gives a null layout, an empty text and no spans; of layouts with one shape the first
+    listed is taken. Rows stay as they are, repeats included; an empty table gives an
+    empty result; further columns are ignored.
     """
     known = registry or Registry()
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = (" ", "\n", "\t", "\r", "\x0b", "\x0c")
 
-#: Used only if the session names no checkpoint folder (tests, notebooks on one machine).
+#: Used only if the session names no checkpoint folder and runs on one machine (tests, notebooks); a cluster must name one.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/larkspur"
 
 
@@ -25,6 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
     return named or LOCAL_CHECKPOINTS
 
 

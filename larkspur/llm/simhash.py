@@ -37,6 +37,8 @@ from .components import components
 SEED = 42
 BITS = 64
 PROBE_COST, VERIFY_COST = 1.0, 0.05
+#: A fingerprint is hot with more than this share of all rows, and at least so many.
+HOT_SHARE, HOT_LEAST = 0.001, 64
 
 
 # --- fingerprints -----------------------------------------------------------------
@@ -247,18 +249,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, bucket_limi
     table gives an empty result; other columns of any name are ignored.
     """
     prints = cut(fingerprints(docs, size))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")))
     roots = cut(components(links(distinct.select("fp"), radius, bucket_limit))).select(F.col("node").alias("fp"), "root")
     low = distinct.join(roots, "fp").groupBy("root").agg(F.min("low").alias("linked"))
     named = distinct.join(roots.join(low, "root").select("fp", "linked"), "fp", "left").select("fp", F.coalesce("linked", "low").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id.
-
-    Rows without a doc_id can't be told apart from each other and are all kept.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), size, radius)
-    gone = found.filter("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    # fingerprints of more than a thousandth of the rows are fewer than a thousand: they are broadcast, so no task gets a hot one
+    limit = max(HOT_LEAST, HOT_SHARE * (distinct.agg(F.sum("rows")).first()[0] or 0))
+    hot = F.broadcast(distinct.filter(F.col("rows") > limit).select("fp"))
+    large = prints.join(hot, "fp", "left_semi").join(F.broadcast(named.join(hot, "fp", "left_semi")), "fp")
+    rest = prints.join(hot, "fp", "left_anti").join(named.join(hot, "fp", "left_anti"), "fp")
+    return rest.unionByName(large).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

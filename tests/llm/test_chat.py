@@ -31,6 +31,49 @@ def test_layouts_give_the_same_turns(spark):
     assert all(r.layout is None and r.formatted == "" and r.loss == [] for r in found if r.conv_id >= 90)
 
 
+def chat_of(*texts):
+    return [{"role": r, "content": t} for r, t in zip(("user", "assistant") * 4, texts, strict=False)]
+
+
+def test_nested_layouts():
+    known = chat.Registry()
+    cases = [
+        ({"prompt": chat_of("hi"), "response": "there"}, TURNS),
+        ({"prompt": chat_of("hi"), "completion": [{"role": "assistant", "content": "there"}], "metadata": {"a": [1]}}, TURNS),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "h"}, {"type": "text", "text": "i"}]}, {"role": "assistant", "content": "there"}]}, TURNS),
+        ({"prompt": "hi", "chosen": "there", "rejected": "no"}, TURNS),
+        ({"chosen": chat_of("hi", "there"), "rejected": chat_of("hi", "no"), "score": 1}, TURNS),
+        ({"messages": [{"role": "user", "content": "hi"}, {"role": "model", "content": None}], "title": "t"}, [("user", "hi"), ("assistant", "")]),
+        ({"messages": []}, []),
+        ({"prompt": "hi", "response": 42}, [("user", "hi"), ("assistant", "42")]),
+    ]
+    for record, turns in cases:
+        assert chat.canonical_turns(record, known.find(record)) == turns, record
+
+
+def test_other_shapes_are_refused():
+    known = chat.Registry()
+    for record in (
+        {"prompt": {"text": "hi"}, "response": "there"},
+        {"prompt": ["hi"], "response": "there"},
+        {"prompt": "hi", "response": ["there"]},
+        {"messages": chat_of("hi"), "tools": [{"name": "f"}]},
+        {"messages": [{"role": "user", "content": "hi", "call": {"f": 1}}]},
+        {"messages": [{"role": "user", "content": [{"type": "image", "url": "u"}]}]},
+        {"messages": "hi"},
+        {"prompt": "hi", "response": "there", "messages": []},
+        {"note": "only"},
+    ):
+        assert known.find(record) is None, record
+
+
+def test_rows_keep_the_spelling_of_roles(spark):
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (1, 2, "assistant", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.digests(chat.format_records(chat.turn_records(df))).first()
+    assert found.turns_sha256 == hashlib.sha256(b"human\na\ngpt\nb\nassistant\nc\n").hexdigest() and found.loss_sha256 == hashlib.sha256(b"c").hexdigest()
+
+
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a:\nb\\"]), st.text(alphabet="#\\/<>turnbhe \n:é") | st.just("</turn>\n### assistant:\n"))))
 def test_template_is_reversible(turns):
     text, spans = chat.render(turns)

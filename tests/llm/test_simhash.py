@@ -59,7 +59,6 @@ def test_matches_brute_force(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(docs).collect() == []
-    assert simhash.drop_near_duplicates(docs).columns == docs.columns
 
 
 def test_links_are_exact_for_any_bucket_limit(spark):
@@ -111,6 +110,7 @@ def test_parts_keep_correlated_bits_together():
     assert any({1, 40} <= set(p) for p in parts) and any({7, 63} <= set(p) for p in parts)
 
 
-def test_one_of_each_group_stays(spark):
-    docs = spark.createDataFrame([(5, "a b c d"), (2, "A B C D"), (9, "entirely different words here now"), (None, "a b c d")], "doc_id long, text string")
-    assert sorted((r.doc_id for r in simhash.drop_near_duplicates(docs).collect()), key=str) == [2, 9, None]
+def test_hot_fingerprints_keep_all_rows(spark):
+    rows = [(i, "the same text for all" if i < 300 else f"own words {i} and more {i * 7}") for i in range(400)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 400 and {r.component_id for r in found if r.doc_id < 300} == {0}
