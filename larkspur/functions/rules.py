@@ -128,3 +128,10 @@ LOWER_IS_BETTER = (
 EMBED_WORD = r"[a-z0-9$%.]+"
 EMBED_WIDTH = 768
 WORD_WEIGHT, PAIR_WEIGHT, GRAM_WEIGHT = 1.0, 0.5, 0.3
+
+# What a user is told, word for word.
+WHICH_ONE = "That could refer to a few different things in our documents. Which did you mean?\n"
+NEAREST = " The closest documents I found were: "
+ABSTAIN = "I don't have enough in the knowledge base to answer that reliably, so I'd rather not guess."
+NOT_FOR_YOU = ("I could not find anything on that in the documents available to you (", "). If this belongs to another department, ask its owner or request access.")
+NOTHING = "I could not find anything about that in the knowledge base."

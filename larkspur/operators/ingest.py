@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FACET_CAP = 1000
-
-
 def classify(manifest: DataFrame, scan: DataFrame, force: bool = False) -> DataFrame:
     """(doc_id, content_hash, old_hash, change) from two (doc_id, content_hash) tables.
 
@@ -77,8 +74,8 @@ def record_manifest(manifest: DataFrame, entries: DataFrame, gone: DataFrame) ->
 
 
 def sync_report(changes: DataFrame) -> DataFrame:
-    """(change, documents, doc_ids) per kind of change, ids sorted."""
-    return changes.groupBy("change").agg(F.count(F.lit(1)).alias("documents"), F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+    """(change, documents, first_id, last_id) per kind of change; the ids themselves stay rows of ``changes``."""
+    return changes.groupBy("change").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:
@@ -109,9 +106,10 @@ def point_lookup(chunks: DataFrame, chunk_id: str) -> DataFrame:
     return chunks.filter(F.col("chunk_id") == chunk_id)
 
 
-def list_documents(manifest: DataFrame, allowed: Column) -> DataFrame:
-    """Manifest rows inside the access scope, with their number of chunks."""
-    return manifest.filter(allowed).withColumn("chunks", F.size("chunk_ids")).orderBy("doc_id")
+def list_documents(manifest: DataFrame, chunks: DataFrame, allowed: Column) -> DataFrame:
+    """Manifest rows inside the access scope, with their number of chunks (0 if there is none)."""
+    counted = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return manifest.filter(allowed).join(counted, "doc_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0))).orderBy("doc_id")
 
 
 def check_width(vectors: DataFrame, width: int, column: str = "vector") -> None:

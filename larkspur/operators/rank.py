@@ -58,9 +58,22 @@ def lexical_score(terms: Column, body: Column, heading: Column) -> Column:
     return T.let(F.struct(terms.alias("terms"), F.array_distinct(body).alias("body"), heading.alias("heading")), score)
 
 
-def lexical_rerank(hits: DataFrame, window: int = R.RERANK_WINDOW) -> DataFrame:
-    """``hits`` (question, title, section_path, text, place) with rerank_score; beyond the window it is 0."""
+def lexical_rerank(hits: DataFrame, window: int = R.RERANK_WINDOW, postings: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
+    """``hits`` (query_id, question, title, section_path, text, place) with rerank_score; beyond the window it is 0.
+
+    With the index's ``postings`` (key, term) no text is analysed: of each hit's body only
+    the question's terms are looked up, in one join for all questions. Questions are the
+    same for all hits of a query_id.
+    """
     heading = F.concat_ws(" ", "title", "section_path")
+    if postings is not None:
+        asked = hits.groupBy("query_id").agg(F.first("question").alias("question")).select("query_id", F.explode(content_terms(F.col("question"))).alias("term")).distinct()
+        inside = hits.filter(F.col("place") <= window).select("query_id", key).distinct()
+        held = postings.select(key, "term").join(asked, "term").join(inside, ["query_id", key], "left_semi")
+        bodies = held.groupBy("query_id", key).agg(F.collect_set("term").alias("__body"))  # at most a question's terms
+        met = hits.join(bodies, ["query_id", key], "left").withColumn("__body", F.coalesce("__body", F.array().cast("array<string>")))
+        score = lexical_score(content_terms(F.col("question")), F.col("__body"), T.analyze(heading))
+        return met.withColumn("rerank_score", F.when(F.col("place") <= window, score).otherwise(F.lit(0.0))).drop("__body")
     score = lexical_score(content_terms(F.col("question")), T.analyze(F.col("text")), T.analyze(heading))
     return hits.withColumn("rerank_score", F.when(F.col("place") <= window, score).otherwise(F.lit(0.0)))
 

@@ -69,7 +69,7 @@ def _blocks(vectors: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def cosine(questions: DataFrame, vectors: DataFrame, k: int | None = None, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score): the ``k`` nearest vectors of each question, or all of them.
+    """(query_id, key, score): the ``k`` nearest vectors of each question and ties, or all of them (a report on small tables).
 
     ``questions``: (query_id, vector), ``vectors``: (key, vector), ids whole numbers.
     Both sides are normalised; a zero vector scores 0; other widths don't match.

@@ -4,7 +4,8 @@ Tables in: questions (query_id long, question, history ARRAY<STRUCT<role, conten
 departments ARRAY<STRING> or null), chunks (chunk_id long or string key mapped to long
 ``cid``, doc_id, text, embed_text, title, section_path, department, doc_type,
 effective_date, version, is_current), vectors (cid, vector). Tables out: hits and
-answers. Scope applies before scoring; BM25 statistics stay corpus-wide.
+answers. Scope applies before scores are summed, and to the vectors before products as far
+as no question may see them; BM25 statistics stay corpus-wide.
 """
 
 from __future__ import annotations
@@ -44,20 +45,33 @@ def understood(questions: DataFrame, model: hooks.Model | None = None) -> DataFr
 
 
 def _scoped(scores: DataFrame, asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Scores (query_id = sub-question key, cid) of chunks inside the principal's scope."""
+    """Rows (query_id = sub-question key, cid, ..) of chunks inside the principal's scope."""
     scope = asked.select(F.col("sid").alias("query_id"), "departments")
     named = scores.join(chunks.select("cid", "department"), "cid").join(scope, "query_id")
     return named.filter(F.col("departments").isNull() | search.in_scope(F.col("departments"), F.col("department"))).drop("department", "departments")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: Settings | None = None, model: hooks.Model | None = None) -> Retrieval:
-    """The improved profile: condense, decompose, hybrid search, currency filter, rerank, version rank, interleave."""
+def _seen_by_any(vectors: DataFrame, asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Vectors of chunks that some question may see; the others are never scored."""
+    named = asked.select(F.explode(F.coalesce("departments", F.array(F.lit("*")))).alias("d")).distinct()
+    every = named.agg(F.coalesce(F.bool_or(F.col("d") == "*"), F.lit(False)).alias("all"))  # one row
+    seen = chunks.select("cid", "department").crossJoin(F.broadcast(every)).join(named, F.col("department") == F.col("d"), "left")
+    return vectors.join(seen.filter(F.col("all") | F.col("d").isNotNull()).select("cid"), "cid", "left_semi")
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: Settings | None = None, model: hooks.Model | None = None, lexicon: index.LexicalIndex | None = None) -> Retrieval:
+    """The improved profile: condense, decompose, hybrid search, currency filter, rerank, version rank, interleave.
+
+    ``lexicon`` is the kept index of ``chunks`` (key cid, text embed_text); without it the
+    index is built for this call.
+    """
     s = settings or Settings()
     asked = understood(questions, model).select("*", F.posexplode(understand.subquestions(F.col("standalone"))).alias("sub", "subquestion"))
     asked = asked.withColumn("sid", F.col("query_id") * 4 + F.col("sub"))  # at most three sub-questions
     texts = asked.select(F.col("sid").alias("query_id"), F.col("subquestion").alias("text"))
-    lexical = _scoped(index.bm25(texts, chunks, key="cid", text="embed_text"), asked, chunks)
-    dense = _scoped(search.cosine(embed.embed_texts(texts, "query_id", width=s.embed_width), vectors, key="cid"), asked, chunks)
+    words = lexicon or index.build(chunks, "cid", "embed_text")
+    lexical = index.bm25(texts, words, key="cid", scope=lambda found: _scoped(found, asked, chunks))
+    dense = _scoped(search.cosine(embed.embed_texts(texts, "query_id", width=s.embed_width), _seen_by_any(vectors, asked, chunks), key="cid"), asked, chunks)
     found = search.hybrid(lexical, dense, s.retrieve_top_k, key="cid")
     named = found.select(F.col("query_id").alias("sid"), "cid", F.col("rrf").alias("score"), "keyword_score", "vector_score").join(asked.select("sid", "query_id", "sub", "question", "standalone", "subquestion"), "sid")
     hits = rank.merge_subqueries(named.withColumn("chunk_id", F.col("cid"))).join(chunks.select("cid", *CHUNK_FIELDS), "cid")
@@ -126,7 +140,7 @@ def answers(questions: DataFrame, found: Retrieval, settings: Settings | None =
     return rows.select("query_id", "status", text.alias("answer"), shown.alias("confidence"), options.alias("options"), F.coalesce("sources", F.lit(0)).alias("sources"), "unsupported")
 
 
-def ask(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: Settings | None = None, model: hooks.Model | None = None) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: Settings | None = None, model: hooks.Model | None = None, lexicon: index.LexicalIndex | None = None) -> DataFrame:
     """Answers in the settings' profile. Questions that share a cache key are answered once."""
     s = settings or Settings()
     keyed = questions.withColumn("__key", A.cache_key(s.profile, F.col("departments"), F.col("question")))
@@ -134,7 +148,7 @@ def ask(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: S
     keyed = keyed.withColumn("__key", F.when(single, F.col("__key")).otherwise(F.concat(F.lit("turn|"), F.col("query_id").cast("string"))))
     first = keyed.groupBy("__key").agg(F.min("query_id").alias("query_id"))
     unique = keyed.join(first, ["__key", "query_id"], "left_semi")
-    found = retrieve_baseline(unique, chunks, vectors, s) if s.baseline else retrieve(unique, chunks, vectors, s, model)
+    found = retrieve_baseline(unique, chunks, vectors, s) if s.baseline else retrieve(unique, chunks, vectors, s, model, lexicon)
     done = answers(unique.drop("__key"), found, s, model).withColumnRenamed("query_id", "__first")
     back = keyed.select("query_id", "__key").join(first.withColumnRenamed("query_id", "__first"), "__key")
     return back.join(done, "__first").drop("__first", "__key")

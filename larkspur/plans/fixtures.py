@@ -7,10 +7,13 @@ Benchmark items are the questions. Vectors belong to documents of the same numbe
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index
+from .sync import Store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +29,23 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
+def kept_index(spark: SparkSession, sf_dir: str) -> index.LexicalIndex:
+    """The corpus' lexical index: opened if it was kept for these very files, else built and kept.
+
+    It lies in the warehouse folder, which a cluster's machines share, under a digest of the
+    files' names, sizes and times; other files make another index.
+    """
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select(F.concat_ws("|", "path", "length", "modificationTime").alias("f"))
+    state = files.agg(F.sum(F.xxhash64("f").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    store = Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/larkspur-lexical", f"{state.n}-{state.s}")
+    _, name = store.current()
+    if name is None:
+        name = f"v{uuid.uuid4().hex}"
+        index.write(index.build(corpus(spark, sf_dir)), f"{store.path}/{name}")
+        store.publish(1, name)
+    return index.read(spark, f"{store.path}/{name}")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, text)."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -60,7 +80,7 @@ DATED = "case query_id % 3 when 0 then text || ' in 2019' when 1 then 'what was
 def hits(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """The best documents of each question by BM25, with the fields of chunks, ``score`` (6 places), ``rank`` and ``sub`` (two sub-questions)."""
     asked = questions(spark, sf_dir)
-    best = index.top_k(index.bm25(asked, corpus(spark, sf_dir)).withColumn("score", F.round("score", 6)), k)
+    best = index.top_k(index.bm25(asked, kept_index(spark, sf_dir)).withColumn("score", F.round("score", 6)), k)
     named = best.join(described(spark, sf_dir), "chunk_id").join(asked.select("query_id", dated_question(F.col("text"), F.col("query_id")).alias("question")), "query_id")
     return named.withColumn("sub", (F.col("chunk_id") % 2).cast("int"))
 

@@ -11,7 +11,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import answer, blocks, chunking, evaluate, guard, index, ingest, rank, search, understand, versions
 from . import oracle as O
-from .fixtures import DESCRIBED, corpus, described, hits, hits_ctes, literal, questions, table
+from .fixtures import DESCRIBED, corpus, described, hits, hits_ctes, kept_index, literal, questions, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -290,7 +290,7 @@ def deleted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {MANIFEST_SQL}, c as (select {CHANGE_SQL} as change, coalesce(m.doc_id, s.doc_id) as doc_id from m full join s on m.doc_id = s.doc_id) select change, count(*) as documents, min(doc_id) as first_id, max(doc_id) as last_id from c group by change")
 def sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = ingest.sync_report(ingest.classify(*_manifest(spark, sf_dir)))
-    return report.select("change", "documents", F.get("doc_ids", 0).alias("first_id"), F.element_at("doc_ids", -1).alias("last_id"))
+    return report.select("change", "documents", "first_id", "last_id")
 
 
 @query(
@@ -383,16 +383,15 @@ def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {O.bm25_ctes()} select (select n from st) as n, round((select av from st), 6) as avg_length, (select count(*) from post) as postings, (select count(*) from dfs) as terms, (select max(df) from dfs) as top_df")
 def inverted_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    posted = index.postings(docs)
-    frequent = index.document_frequency(posted).agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("terms"), F.max("df").alias("top_df"))
-    stats = index.corpus_stats(index.lengths(docs, posted))
-    return stats.crossJoin(frequent).select("n", F.round("avg_length", 6).alias("avg_length"), "postings", "terms", "top_df")
+    """The index of the corpus, built anew."""
+    lexicon = index.build(corpus(spark, sf_dir))
+    frequent = lexicon.frequencies.agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("terms"), F.max("df").alias("top_df"))
+    return lexicon.stats.crossJoin(frequent).select("n", F.round("avg_length", 6).alias("avg_length"), "postings", "terms", "top_df")
 
 
 @query(f"with {O.term_ctes('t', 'documents', 'doc_id', 'text')} select term, count(distinct key) as df from t group by term order by df desc, term limit 50")
 def term_df_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.document_frequency(index.postings(corpus(spark, sf_dir))).orderBy(F.desc("df"), "term").limit(50)
+    return kept_index(spark, sf_dir).frequencies.orderBy(F.desc("df"), "term").limit(50)
 
 
 ONE = "the reading of those things and the approval"
@@ -402,31 +401,31 @@ def _ranked_sql(k: int) -> str:
     return f"select query_id, chunk_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, chunk_id) as rank from bm25 qualify rank <= {k}"
 
 
-def _lexical(asked: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    return index.top_k(index.bm25(asked, docs, allowed).withColumn("score", F.round("score", 6)), k).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+def _lexical(asked: DataFrame, lexicon: index.LexicalIndex, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    return index.top_k(index.bm25(asked, lexicon, None if allowed is None else allowed.select("chunk_id")).withColumn("score", F.round("score", 6)), k).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"with {O.bm25_ctes(f'select 1 as query_id, {O.quoted(ONE)} as text')} {_ranked_sql(10)}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexical(literal(spark, "query_id int, text string", [(1, ONE)]), corpus(spark, sf_dir), 10)
+    return _lexical(literal(spark, "query_id int, text string", [(1, ONE)]), kept_index(spark, sf_dir), 10)
 
 
 @query(f"with {O.bm25_ctes()} {_ranked_sql(10)}")
 def bm25_batch_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexical(questions(spark, sf_dir), corpus(spark, sf_dir), 10)
+    return _lexical(questions(spark, sf_dir), kept_index(spark, sf_dir), 10)
 
 
 @query(f"with {O.bm25_ctes(corpus='select doc_id as chunk_id, text, lang, source from documents', allowed=chr(108) + 'ang in (' + chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'de' + chr(39) + ')')} {_ranked_sql(10)}")
 def acl_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores inside a scope, by statistics of the whole corpus."""
     inside = described(spark, sf_dir).filter(search.scope(departments=["en", "de"]))
-    return _lexical(questions(spark, sf_dir), corpus(spark, sf_dir), 10, inside)
+    return _lexical(questions(spark, sf_dir), kept_index(spark, sf_dir), 10, inside)
 
 
 @query(f"with {O.bm25_ctes(corpus='select doc_id as chunk_id, text, source, doc_id from documents', allowed='doc_id not in (1, 2, 3, 5, 8, 13, 21)')} {_ranked_sql(5)}")
 def exclude_docs_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = described(spark, sf_dir).filter(search.scope(exclude_doc_ids=[1, 2, 3, 5, 8, 13, 21]))
-    return _lexical(questions(spark, sf_dir), corpus(spark, sf_dir), 5, allowed)
+    return _lexical(questions(spark, sf_dir), kept_index(spark, sf_dir), 5, allowed)
 
 
 SCOPES = [("all", ["*"]), ("english", ["en"]), ("two", ["de", "fr"]), ("none", [])]
@@ -477,7 +476,7 @@ def _both_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     asked = questions(spark, sf_dir)
     own = vectors.withColumnRenamed("chunk_id", "query_id").join(asked.select("query_id"), "query_id", "left_semi")
-    return index.bm25(asked, corpus(spark, sf_dir), vectors), search.cosine(own, vectors)
+    return index.bm25(asked, kept_index(spark, sf_dir), vectors.select("chunk_id")), search.cosine(own, vectors)
 
 
 @query(f"with {_HYBRID} select query_id, chunk_id, round(rrf, 9) as rrf, row_number() over (partition by query_id order by round(rrf, 12) desc, chunk_id) as rank from fused qualify rank <= {R.RETRIEVE_TOP_K}")
@@ -609,7 +608,7 @@ _CAL = "round(least(10, greatest(0, 4 + (rerank_score - 4.0) / (8.5 - 4.0) * (9.
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = rank.lexical_rerank(_placed(spark, sf_dir))
+    scored = rank.lexical_rerank(_placed(spark, sf_dir), postings=kept_index(spark, sf_dir).postings)
     return scored.withColumn("rerank_raw", F.col("rerank_score")).withColumn("rerank_score", rank.calibrate(F.lit("lexical"), F.col("rerank_score")))
 
 
@@ -822,7 +821,7 @@ _METRICS = f"with {O.bm25_ctes()}, {_RANKS}, {_EXPECTED}, tot as (select query_i
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _lexical(questions(spark, sf_dir), corpus(spark, sf_dir), 10).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").alias("place"))
+    found = _lexical(questions(spark, sf_dir), kept_index(spark, sf_dir), 10).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").alias("place"))
     return evaluate.retrieval_metrics(evaluate.document_ranks(found), _expected(spark, sf_dir))
 
 

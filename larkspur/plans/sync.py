@@ -2,8 +2,8 @@
 
 State is a set of Parquet tables under ``store``/v<n>; a run reads version n, writes
 version n+1 whole, and then names it in the ``current`` table, so readers never see a half
-state and a failed run leaves the old one. Only changed documents are parsed and embedded;
-currency is patched, vectors stay.
+state and a failed run leaves the old one. Only changed documents are parsed, embedded and
+tokenised; currency is patched, vectors and postings of the others are copied as they are.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
-from ..operators import chunking, embed, ingest, versions
+from ..operators import chunking, embed, index, ingest, versions
 from ..sources import files
 from .settings import Settings
 
 MANIFEST = "doc_id string, content_hash string, size long, title string, department string, doc_type string, version string, effective_date string, effective_until string, supersedes_file string, superseded_by_file string, supersedes_text string, series string, year int, is_current boolean, superseded_by string, supersedes_doc_id string"
 CHUNKS = "doc_id string, ordinal int, chunk_id string, cid long, section_path string, content_type string, page int, text string, embed_text string, token_estimate int, title string, department string, doc_type string, version string, effective_date string, is_current boolean"
+POSTINGS = "cid long, doc_id string, term string, tf long"
 VECTORS = "cid long, doc_id string, vector array<double>"
 META = ["title", "department", "doc_type", "version", "effective_date", "effective_until", "supersedes_file", "superseded_by_file", "supersedes_text", "series", "year"]
 
@@ -41,6 +42,10 @@ class Store:
         _, name = self.current()
         return files.read_table(self.spark, f"{self.path}/{name}/{table}", schema) if name else self.spark.createDataFrame([], schema)
 
+    def lexicon(self) -> index.LexicalIndex:
+        """The kept lexical index of the current version (key cid)."""
+        return index.read(self.spark, f"{self.path}/{self.current()[1]}/lexicon")
+
     def publish(self, seq: int, name: str) -> None:
         self.spark.createDataFrame([(seq, name)], "seq long, name string").coalesce(1).write.mode("append").parquet(f"{self.path}/current")
 
@@ -57,7 +62,9 @@ def document_chunks(parsed: DataFrame, settings: Settings) -> DataFrame:
 
 
 def sync(spark: SparkSession, source: str, store: Store, settings: Settings | None = None, force: bool = False) -> DataFrame:
-    """Brings the store in step with the folder; returns the report (change, documents, doc_ids).
+    """Brings the store in step with the folder; returns the report, a row (change, doc_id) for each document.
+
+    The words of changed documents are counted once and kept with those of the others.
 
     A changed document that doesn't parse keeps its old chunks, manifest row and part in
     version reconciliation, and is reported as failed.
@@ -92,12 +99,17 @@ def sync(spark: SparkSession, source: str, store: Store, settings: Settings | No
     written = spark.read.schema(CHUNKS).parquet(out("chunks"))
     texts = written.join(fresh.select("doc_id"), "doc_id", "left_semi").select("cid", "doc_id", "embed_text")
     embedded = embed.embed_texts(texts.withColumnRenamed("embed_text", "text"), "cid", width=s.embed_width).join(texts.select("cid", "doc_id"), "cid")
+    if not written.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("two chunks have the same 64-bit id")
+    counted = index.postings(texts, "cid", "embed_text").join(texts.select("cid", "doc_id"), "cid")
+    files.write_table(ingest.purge(store.read("postings", POSTINGS), victims).unionByName(counted.select("cid", "doc_id", "term", F.col("tf").cast("long").alias("tf"))), out("postings"))
+    index.write(index.indexed(written.select("cid"), spark.read.schema(POSTINGS).parquet(out("postings")), "cid"), f"{store.path}/{name}/lexicon", "cid")
     old = ingest.purge(vectors, victims)
     ingest.check_width(old, s.embed_width)
     files.write_table(old.unionByName(embedded.select(vectors.columns)), out("vectors"))
     delta = versions.currency_delta(manifest.select("doc_id", "is_current", "superseded_by"), final).select("doc_id", "change")
     shown = changes.join(failed.select("doc_id"), "doc_id", "left_anti").select("doc_id", "change").unionByName(failed.select("doc_id", F.lit("failed").alias("change"))).unionByName(delta)
-    files.write_table(ingest.sync_report(shown), out("report"))
+    files.write_table(shown, out("report"))
     store.publish(seq + 1, name)
     return spark.read.parquet(out("report"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -76,6 +76,6 @@ def scan_documents(spark: SparkSession, doc_ids: DataFrame, connect: Callable[[]
     return doc_ids.select("doc_id").mapInPandas(run, schema)
 
 
-def rejected(results: DataFrame) -> list[Row]:
-    """Keys that the service refused (a report for the log, at most 1000)."""
-    return results.select(F.explode("rejected").alias("key")).limit(1000).collect()
+def rejected(results: DataFrame) -> DataFrame:
+    """(key): all keys that the service refused. Keep ``results`` first, since reading them sends."""
+    return results.select(F.explode("rejected").alias("key"))

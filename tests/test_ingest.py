@@ -52,6 +52,13 @@ def xlsx():
     return zipped({"xl/worksheets/sheet1.xml": sheet(cells), "xl/styles.xml": styles, "xl/workbook.xml": book, **parts})
 
 
+def by_change(report):
+    found = {}
+    for r in report.orderBy("doc_id").collect():
+        found.setdefault(r.change, []).append(r.doc_id)
+    return found
+
+
 def test_docx():
     p = ooxml.parse_docx(docx(("Title", "Travel"), ("", "Effective: May 1, 2026 | Version 3"), ("Heading1", "Scope"), ("ListParagraph", "item"), [["a", "b"], ["1", "2"]], ("", "2.1 Hotels")), "x")
     assert p.title == "Travel" and p.header.startswith("Effective")
@@ -80,19 +87,19 @@ def test_lifecycle(spark, tmp_path):
     write(root, "HR/Leave.xlsx", xlsx())
     write(root, "HR/~$Leave.xlsx", b"lock")
     write(root, "HR/Broken.docx", b"not a zip")
-    report = {r.change: r.doc_ids for r in sync(spark, str(root), store).collect()}
+    report = by_change(sync(spark, str(root), store))
     assert report["new"] == ["HR/Leave.xlsx", "Sales/Pricing2025.docx", "Sales/Pricing2026.docx"] and report["failed"] == ["HR/Broken.docx"] and report["superseded"] == ["Sales/Pricing2025.docx"]
     read = lambda t: spark.read.parquet(f"{store.path}/{store.current()[1]}/{t}")
     first, vectors = {r.chunk_id: r.is_current for r in read("chunks").collect()}, sorted((r.cid, tuple(r.vector)) for r in read("vectors").collect())
     assert len(first) == len(vectors)
     # nothing changed: no chunk is made anew
     (root / "HR/Broken.docx").unlink()
-    report = {r.change: r.doc_ids for r in sync(spark, str(root), store).collect()}
+    report = by_change(sync(spark, str(root), store))
     assert set(report) == {"unchanged"} and {r.chunk_id: r.is_current for r in read("chunks").collect()} == first
     # a successor arrives, one document goes: vectors of the others stay as they are
     write(root, "Sales/Pricing2027.docx", rate("$14"))
     (root / "HR/Leave.xlsx").unlink()
-    report = {r.change: r.doc_ids for r in sync(spark, str(root), store).collect()}
+    report = by_change(sync(spark, str(root), store))
     assert report["new"] == ["Sales/Pricing2027.docx"] and report["deleted"] == ["HR/Leave.xlsx"] and report["superseded"] == ["Sales/Pricing2026.docx"]
     chunks = read("chunks").collect()
     assert {c.doc_id for c in chunks} == {f"Sales/Pricing{y}.docx" for y in (2025, 2026, 2027)}
@@ -102,8 +109,14 @@ def test_lifecycle(spark, tmp_path):
     assert {v for v in vectors if v[0] in kept} <= now and {c.cid for c in chunks} == {c for c, _ in now}
     # the successor goes: its predecessor is reinstated
     (root / "Sales/Pricing2027.docx").unlink()
-    report = {r.change: r.doc_ids for r in sync(spark, str(root), store).collect()}
+    report = by_change(sync(spark, str(root), store))
     assert report["reinstated"] == ["Sales/Pricing2026.docx"]
+    # the kept index is that of the chunks as they are now
+    from larkspur.operators import index
+
+    built, kept = index.build(read("chunks"), "cid", "embed_text"), store.lexicon()
+    assert {tuple(r) for r in kept.postings.select("cid", "term", "tf", "length").collect()} == {tuple(r) for r in built.postings.select("cid", "term", "tf", "length").collect()}
+    assert {tuple(r) for r in kept.frequencies.collect()} == {tuple(r) for r in built.frequencies.collect()} and tuple(kept.stats.first()) == tuple(built.stats.first())
 
 
 def test_stream(spark, tmp_path):
@@ -154,6 +167,17 @@ def test_width_guard(spark):
         ingest.check_width(vectors, 3)
 
 
+def test_listing_and_report(spark):
+    from larkspur.operators import ingest
+    from pyspark.sql import functions as F
+
+    manifest = spark.createDataFrame([("a", "HR"), ("b", "IT"), ("c", "HR")], "doc_id string, department string")
+    chunks = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "doc_id string, ordinal int")
+    assert [(r.doc_id, r.chunks) for r in ingest.list_documents(manifest, chunks, F.col("department") == "HR").collect()] == [("a", 2), ("c", 0)]
+    changes = spark.createDataFrame([("a", "new"), ("c", "new"), ("b", "deleted")], "doc_id string, change string")
+    assert {tuple(r) for r in ingest.sync_report(changes).collect()} == {("new", 2, "a", "c"), ("deleted", 1, "b", "b")}
+
+
 def test_remote_sink_retries_and_reports(spark):
     calls = []
 
