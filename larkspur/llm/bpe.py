@@ -36,8 +36,8 @@ MEMORY = 200_000
 MEMORABLE = 64
 #: Pieces up to this many symbols are merged together.
 TOGETHER = 64
-#: Characters of text whose chunks are looked up together.
-GROUP_CHARS = 1 << 22
+#: Pieces in one such array, and characters of text whose chunks are looked up together.
+TREES, GROUP_CHARS = 1 << 14, 1 << 21
 NONE = 1 << 60
 
 _tokenizers: dict[str, BpeTokenizer] = {}
@@ -235,8 +235,9 @@ class BpeTokenizer:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         width = 2
         while width <= TOGETHER:
-            own = np.flatnonzero((sizes <= width) & (sizes > (width // 2 if width > 2 else 0)))
-            if len(own):
+            alike = np.flatnonzero((sizes <= width) & (sizes > (width // 2 if width > 2 else 0)))
+            for first in range(0, len(alike), TREES):
+                own = alike[first : first + TREES]
                 n = sizes[own]
                 raw = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in own.tolist()]), np.uint8).reshape(-1, width)
                 place = np.arange(width)

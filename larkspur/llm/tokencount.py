@@ -31,6 +31,8 @@ BLOCK = 1 << 16
 #: Bytes of tokens after which a task begins a new file.
 VOLUME = 1 << 26
 ID_BYTES = 9
+#: Documents that are encoded together.
+SLICE = 512
 
 
 def _mark(eod: int) -> str:
@@ -60,10 +62,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, eod: int,
             for kind, values in (("ids", names), ("tokens", tokens)):
                 yield pa.record_batch([batch.column(0), pa.array([kind] * len(values), pa.string()), volumes, pa.array(values, pa.binary())], names=["doc_id", "kind", "volume", "value"])
 
-    def nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(b for b in batches if b.num_rows)
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by few at a time, which bounds what a task holds."""
+        return run(batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
 
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(nonempty, "doc_id long, kind string, volume int, value binary")
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(small, "doc_id long, kind string, volume int, value binary")
     lines = coded.sortWithinPartitions("kind", "volume", "doc_id", F.length("value"), "value").select("kind", "volume", F.col("value").cast("string").alias("value"))
     lines.write.partitionBy("kind", "volume").option("encoding", "ISO-8859-1").option("lineSep", _mark(eod)).text(path)
 
