@@ -30,8 +30,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ ROUNDING = 1e-5
 BROADCAST_BYTES = 1 << 25
 #: Steps a halving of the chance to meet is divided into, and their number.
 FINE, BINS = 4, 160
-SURE, MAYBE, HEAD, TAIL, SIZE, DEPTH = range(6)
+SURE, MAYBE, EDGE, SIZE, DEPTH = range(5)
 
 
 def unit_rows(blobs: list[bytes], kind: str) -> np.ndarray:
@@ -182,11 +183,12 @@ class Strip:
         self.sketch = None
         self.count = 0
 
-    def add(self, nodes: np.ndarray, hashes: np.ndarray, bodies: list[bytes], compare_from: int = 0) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
+    def add(self, nodes: np.ndarray, hashes: np.ndarray, bodies: list[bytes], compare_from: int = 0, pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
         """Certain and possible links of further rows (at most ``BLOCK``) with their windows, and the rows' depth bins.
 
         Rows before ``compare_from`` are only kept as others' window; with it, rows
-        behind it are not compared with each other.
+        behind it are not compared with each other. ``pairs`` says of places (in the order
+        of all rows added) which pairs count.
         """
         raw = np.frombuffer(b"".join(bodies), np.uint8).reshape(len(bodies), -1)
         scale, error, agree = raw[:, :12].copy().view("<f4").T
@@ -205,6 +207,9 @@ class Strip:
         row, col = np.nonzero(near >= self.cosine - 2 * float(self.error.max()) - ROUNDING)
         at = row + first
         kept = (col < at) & (at - col <= self.window)
+        if pairs is not None:
+            gone = self.count - len(self.nodes)
+            kept &= pairs(at + gone, col + gone)
         row, col, at = row[kept], col[kept], at[kept]
         value, band = near[row, col], self.error[at] + self.error[col] + ROUNDING
         certain = value >= self.cosine + band
@@ -275,21 +280,25 @@ def pass_links(rows: DataFrame, window: int, cosine: float) -> tuple[DataFrame,
             if sure or maybe:
                 yield table([(SURE, a, b, None, None, None, None, None) for a, b in sure] + [(MAYBE, a, b, None, None, None, None, None) for a, b in maybe])
         # the first rows meet the ends of the partitions before, the last rows the starts of the next
-        ends = [(kind, n, None, part, at, k, g, b) for kind, rows in ((HEAD, head if part else []), (TAIL, last)) for n, at, k, g, b in rows]
+        ends = [(EDGE, n, None, part, at, k, g, b) for at, (n, _, k, g, b) in {row[1]: row for row in (*head, *last)}.items()]
         counted = [(DEPTH, k, int(c), None, None, None, g, None) for g, bins in depths.items() for k, c in enumerate(bins) if c]
         yield table([*ends, *counted, (SIZE, None, None, part, count, None, None, None)])
 
     def edge(key: tuple, rows: pa.Table) -> pa.Table:
-        found = []
+        """Links across partitions whose earlier row lies in this stretch of the whole order."""
+        stretch, found = key[0].as_py(), []
         own: dict[tuple, list] = {}
-        for row in sorted(zip(*(rows[c].to_pylist() for c in ("pass", "grp", "at", "a", "body")), strict=True)):
-            own.setdefault(row[:2], []).append(row)
+        for row in sorted(zip(*(rows[c].to_pylist() for c in ("pass", "grp", "place", "part", "a", "body")), strict=True)):
+            own.setdefault(row[:2], []).append(row[2:])
         for alike in own.values():
-            before, behind = [r for r in alike if r[2] < 0], [r for r in alike if r[2] >= 0]
-            if before and behind:
-                strip, both = Strip(window, cosine), before + behind
-                # ranks in the whole order are close together, so places in this list differ by the same
-                sure, maybe, _ = strip.add(np.array([r[3] for r in both]), np.zeros(len(both), np.int64), [r[4] for r in both], compare_from=len(before))
+            place, part = np.array([r[0] for r in alike]), np.array([r[1] for r in alike])
+            if part[0] == part[-1]:
+                continue
+            here, strip = place // (2 * window) == stretch, Strip(window, cosine)
+            counts = lambda at, col, place=place, part=part, here=here: here[col] & (place[at] - place[col] <= window) & (part[at] != part[col])
+            for at in range(0, len(alike), BLOCK):
+                some = alike[at : at + BLOCK]
+                sure, maybe, _ = strip.add(np.array([r[2] for r in some]), np.zeros(len(some), np.int64), [r[3] for r in some], pairs=counts)
                 found += [(SURE, *p) for p in sure] + [(MAYBE, *p) for p in maybe]
         return pa.table({"kind": pa.array([f[0] for f in found], pa.int32()), "a": pa.array([f[1] for f in found], pa.int64()), "b": pa.array([f[2] for f in found], pa.int64())})
 
@@ -298,20 +307,15 @@ def pass_links(rows: DataFrame, window: int, cosine: float) -> tuple[DataFrame,
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     found = cut(ranged.mapInArrow(run, "kind int, a long, b long, part int, at long, pass int, grp string, body binary"))
     sizes = {r.part: r["at"] for r in found.filter(F.col("kind") == SIZE).select("part", "at").collect()}  # a row per partition
-    meets = []
-    for p in sorted(sizes):
-        gap, q = 0, p + 1
-        while gap < window and q in sizes:
-            if sizes[p] and sizes[q]:
-                meets.append((q, p, gap))
-            gap, q = gap + sizes[q], q + 1
     links = found.filter(F.col("kind").isin(SURE, MAYBE)).select("kind", "a", "b")
-    if meets:
-        ends = spark.createDataFrame([(p, size) for p, size in sizes.items()], "part int, size long")
-        tails = found.filter(F.col("kind") == TAIL).join(F.broadcast(ends), "part").select(F.col("part").alias("edge"), "pass", "grp", (F.col("at") - F.col("size")).alias("at"), "a", "body")
-        met = spark.createDataFrame(meets, "part int, edge int, gap long")
-        heads = found.filter(F.col("kind") == HEAD).join(F.broadcast(met), "part").filter(F.col("at") + F.col("gap") < window).select("edge", "pass", "grp", (F.col("at") + F.col("gap")).alias("at"), "a", "body")
-        links = links.unionByName(tails.unionByName(heads).groupBy("edge").applyInArrow(edge, "kind int, a long, b long"))
+    if sum(size > 0 for size in sizes.values()) > 1:
+        parts = sorted(sizes)
+        starts = spark.createDataFrame([*zip(parts, itertools.accumulate([sizes[p] for p in parts[:-1]], initial=0), strict=True)], "part int, start long")
+        placed = found.filter(F.col("kind") == EDGE).join(F.broadcast(starts), "part").withColumn("place", F.col("start") + F.col("at"))
+        # a row goes to its own stretch of two windows, and to the one before if that can reach it
+        own = F.floor(F.col("place") / (2 * window)).cast("long")
+        both = F.when((F.col("place") % (2 * window) < window) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+        links = links.unionByName(placed.withColumn("stretch", F.explode(both)).select("stretch", "pass", "grp", "place", "part", "a", "body").groupBy("stretch").applyInArrow(edge, "kind int, a long, b long"))
     depths: dict[str, np.ndarray] = {}
     counted = found.filter(F.col("kind") == DEPTH).groupBy("grp", "a").agg(F.sum("b").alias("n"))
     for r in counted.collect():  # at most BINS rows for a label with more vectors than a window
