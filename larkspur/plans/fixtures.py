@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,17 +30,29 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
+def _can_write(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there or can be made."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+    except Py4JJavaError:
+        return False
+
+
 def kept_index(spark: SparkSession, sf_dir: str) -> index.LexicalIndex:
     """The corpus' lexical index: opened if it was kept for these very files, else built and kept.
 
     It lies in the warehouse folder, which a cluster's machines share, under a digest of the
-    files' names, sizes and times; other files make another index.
+    files' names, sizes and times; other files make another index. Where nothing can be
+    written, the index is built for this use only.
     """
     files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select(F.concat_ws("|", "path", "length", "modificationTime").alias("f"))
     state = files.agg(F.sum(F.xxhash64("f").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
     store = Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/larkspur-lexical", f"{state.n}-{state.s}")
     _, name = store.current()
     if name is None:
+        if not _can_write(spark, store.path):
+            return index.build(corpus(spark, sf_dir))
         name = f"v{uuid.uuid4().hex}"
         index.write(index.build(corpus(spark, sf_dir)), f"{store.path}/{name}")
         store.publish(1, name)
