@@ -4,8 +4,8 @@ Tables in: questions (query_id long, question, history ARRAY<STRUCT<role, conten
 departments ARRAY<STRING> or null), chunks (chunk_id long or string key mapped to long
 ``cid``, doc_id, text, embed_text, title, section_path, department, doc_type,
 effective_date, version, is_current), vectors (cid, vector). Tables out: hits and
-answers. Scope applies before scores are summed, and to the vectors before products as far
-as no question may see them; BM25 statistics stay corpus-wide.
+answers. Scope applies before BM25 scores are summed and inside the vector products, which
+leave out vectors that no question may see; BM25 statistics stay corpus-wide.
 """
 
 from __future__ import annotations
@@ -71,8 +71,9 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, settin
     texts = asked.select(F.col("sid").alias("query_id"), F.col("subquestion").alias("text"))
     words = lexicon or index.build(chunks, "cid", "embed_text")
     lexical = index.bm25(texts, words, key="cid", scope=lambda found: _scoped(found, asked, chunks))
-    dense = _scoped(search.cosine(embed.embed_texts(texts, "query_id", width=s.embed_width), _seen_by_any(vectors, asked, chunks), key="cid"), asked, chunks)
-    found = search.hybrid(lexical, dense, s.retrieve_top_k, key="cid")
+    probes = embed.embed_texts(texts, "query_id", width=s.embed_width).select("query_id", "vector").join(asked.select(F.col("sid").alias("query_id"), "departments"), "query_id")
+    seen = _seen_by_any(vectors.select("cid", "vector"), asked, chunks).join(chunks.select("cid", "department"), "cid")
+    found = search.hybrid(lexical, probes, seen, s.retrieve_top_k, key="cid")
     named = found.select(F.col("query_id").alias("sid"), "cid", F.col("rrf").alias("score"), "keyword_score", "vector_score").join(asked.select("sid", "query_id", "sub", "question", "standalone", "subquestion"), "sid")
     hits = rank.merge_subqueries(named.withColumn("chunk_id", F.col("cid"))).join(chunks.select("cid", *CHUNK_FIELDS), "cid")
     standalone = hits.withColumnRenamed("question", "asked").withColumn("question", F.col("standalone"))

@@ -471,24 +471,25 @@ fused as (select coalesce(l.query_id, d.query_id) as query_id, coalesce(l.chunk_
   from lex l full join den d on l.query_id = d.query_id and l.chunk_id = d.chunk_id)"""
 
 
-def _both_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """BM25 and cosine lists of the benchmark questions over the documents that have a vector."""
+def _both_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """BM25 list of the benchmark questions over the documents that have a vector, the questions' vectors, all vectors."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     asked = questions(spark, sf_dir)
     own = vectors.withColumnRenamed("chunk_id", "query_id").join(asked.select("query_id"), "query_id", "left_semi")
-    return index.bm25(asked, kept_index(spark, sf_dir), vectors.select("chunk_id")), search.cosine(own, vectors)
+    return index.bm25(asked, kept_index(spark, sf_dir), vectors.select("chunk_id")), own, vectors
 
 
 @query(f"with {_HYBRID} select query_id, chunk_id, round(rrf, 9) as rrf, row_number() over (partition by query_id order by round(rrf, 12) desc, chunk_id) as rank from fused qualify rank <= {R.RETRIEVE_TOP_K}")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = search.hybrid(*_both_lists(spark, sf_dir))
+    best = search.hybrid(*_both_sides(spark, sf_dir))
     return best.select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"with {_HYBRID} select query_id, count(*) as fused, count(keyword_score) as keyword, count(vector_score) as vector, round(sum(rrf), 6) as mass from fused group by query_id")
 def hybrid_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the two lists overlap, over the whole fused list."""
-    lexical, dense = _both_lists(spark, sf_dir)
+    lexical, asked, vectors = _both_sides(spark, sf_dir)
+    dense = search.cosine(asked, vectors)
     fused = search.fuse(search.ranked(lexical), search.ranked(dense))
     wide = fused.join(lexical.select("query_id", "chunk_id", F.lit(1).alias("k")), ["query_id", "chunk_id"], "left").join(dense.select("query_id", "chunk_id", F.lit(1).alias("v")), ["query_id", "chunk_id"], "left")
     return wide.groupBy("query_id").agg(F.count(F.lit(1)).alias("fused"), F.count("k").alias("keyword"), F.count("v").alias("vector"), F.round(F.sum("rrf"), 6).alias("mass"))

@@ -161,3 +161,33 @@ def test_model_hooks_fall_back(spark):
     replies = spark.createDataFrame([(1, '```json\n{"scores": [{"id": 0, "score": 7}]}\n```'), (2, 'Sure: {"scores": [{"id": 1, "score": 3.5}]} ok'), (3, "no")], "id long, r string")
     parsed = {r.id: r.s for r in replies.select("id", hooks.rerank_scores(F.col("r")).alias("s")).collect()}
     assert parsed == {1: {0: 7.0}, 2: {1: 3.5}, 3: None}
+
+
+def test_hybrid_equals_whole_lists_ranked_and_fused(spark):
+    """Heads and counted ranks against sorting both lists whole: ties, zero and null vectors, scopes, a question without words."""
+    from larkspur.operators import search
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    made = rng.integers(-2, 3, (400, 4)).astype(float)  # few values, so many ties and zero vectors
+    made[7] = 0
+    vectors = spark.createDataFrame([(i, [float(x) for x in v], "abc"[i % 3]) for i, v in enumerate(made)] + [(900, None, "a"), (901, [], "b"), (902, [1.0], None)], "chunk_id long, vector array<double>, department string")
+    scopes = [None, ["*"], ["a"], ["b", "c"], []]
+    asked = spark.createDataFrame([(q, [float(x) for x in rng.normal(size=4)], scopes[q]) for q in range(5)], "query_id long, vector array<double>, departments array<string>")
+    allowed = lambda q, i: scopes[q] is None or "*" in scopes[q] or "abc"[i % 3] in scopes[q]
+    words = [(q, int(i), float(rng.integers(1, 40)) / 8) for q in range(1, 5) for i in rng.permutation(400)[:300] if allowed(q, i)]
+    lexical = spark.createDataFrame(words, "query_id long, chunk_id long, score double")
+    dense = search.cosine(asked.drop("departments"), vectors.drop("department")).join(asked.select("query_id", "departments"), "query_id").join(vectors.select("chunk_id", "department"), "chunk_id")
+    dense = dense.filter(F.col("departments").isNull() | search.in_scope(F.col("departments"), F.col("department"))).select("query_id", "chunk_id", "score")
+    for k in (1, 20):
+        got = {(r.query_id, r["rank"]): (r.chunk_id, round(r.rrf, 12), r.keyword_score, None if r.vector_score is None else round(r.vector_score, 9)) for r in search.hybrid(lexical, asked, vectors, k).collect()}
+        scores = [{(r.query_id, r.chunk_id): r.score for r in side.collect()} for side in (lexical, dense)]
+        places = [{(r.query_id, r.chunk_id): r["rank"] for r in search.ranked(side).collect()} for side in (lexical, dense)]
+        want = {}
+        for q in range(5):
+            keys = {key for side in scores for key in side if key[0] == q}
+            rrf = {key: sum(1 / (60 + side[key]) for side in places if key in side) for key in keys}
+            for rank, key in enumerate(sorted(keys, key=lambda key: (-round(rrf[key], 12), key[1]))[:k], 1):
+                near = scores[1].get(key)
+                want[q, rank] = (key[1], round(rrf[key], 12), scores[0].get(key), None if near is None else round(near, 9))
+        assert got == want and len(got) == 4 * k
