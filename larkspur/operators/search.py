@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 
 BLOCK_ROWS = 2048
+#: Length of the heads of two fused lists, in multiples of the shortest that holds the result; longer ones leave fewer ranks to count.
+HEADS = 10
 
 
 def scope(departments: list[str] | None = None, doc_ids: list | None = None, exclude_doc_ids: list | None = None, current_only: bool = False, content_types: list[str] | None = None) -> Column:
@@ -189,17 +191,18 @@ def _cosine_of(pairs: DataFrame, questions: DataFrame, vectors: DataFrame, key:
 def hybrid(lexical: DataFrame, questions: DataFrame, vectors: DataFrame, k: int = R.RETRIEVE_TOP_K, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, rrf, keyword_score, vector_score, rank): the ``k`` best of the lexical and the cosine list, fused by reciprocal ranks.
 
-    Scores of a list that lacks the key are null. Neither list is sorted whole: what is
-    beyond place RRF_K + 2k of both lists has less than 2 / (2 RRF_K + 2k), which the k-th
-    of either list has alone. So the heads of that length hold the result, and the rank that
-    a key of one head has in the other list is counted. A list shorter than its head is
-    all there.
+    Scores of a list that lacks the key are null. Neither list is sorted whole. The k-th of
+    either list has 1 / (RRF_K + k) alone. What is beyond both heads cannot reach that; nor
+    can what has a place beyond ``least`` in one list and is beyond the other's head. For
+    the few places up to ``least``, the rank in the other list is counted. A list shorter
+    than its head is all there.
     """
-    n = R.RRF_K + 2 * k
+    n = HEADS * (R.RRF_K + 2 * k)
+    least = int(1 / (1 / (R.RRF_K + k) - 1 / (R.RRF_K + n + 1) - 1e-9)) - R.RRF_K + 1
     word, near = [ranked(scores, key).filter(F.col("rank") <= n) for scores in (lexical, cosine(questions, vectors, n, key))]
     pair = ["query_id", key]
-    far_word = lexical.join(near.join(word, pair, "left_anti").select(pair), pair, "left_semi")
-    far_near = _cosine_of(word.join(near, pair, "left_anti").select(pair), questions, vectors, key)
+    far_word = lexical.join(near.filter(F.col("rank") <= least).join(word, pair, "left_anti").select(pair), pair, "left_semi")
+    far_near = _cosine_of(word.filter(F.col("rank") <= least).join(near, pair, "left_anti").select(pair), questions, vectors, key)
     word_ranks, near_ranks = _ranks_in_table(_in_order(far_word, key), lexical, key), _ranks_among_vectors(_in_order(far_near, key), questions, vectors, key)
     left = word.select(*pair, "score", "rank").unionByName(far_word.select(*pair, "score").join(word_ranks, pair))
     right = near.select(*pair, "score", "rank").unionByName(far_near.join(near_ranks, pair))

@@ -163,11 +163,13 @@ def test_model_hooks_fall_back(spark):
     assert parsed == {1: {0: 7.0}, 2: {1: 3.5}, 3: None}
 
 
-def test_hybrid_equals_whole_lists_ranked_and_fused(spark):
+@pytest.mark.parametrize("heads", [1, 10])
+def test_hybrid_equals_whole_lists_ranked_and_fused(spark, monkeypatch, heads):
     """Heads and counted ranks against sorting both lists whole: ties, zero and null vectors, scopes, a question without words."""
     from larkspur.operators import search
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(search, "HEADS", heads)
     rng = np.random.default_rng(5)
     made = rng.integers(-2, 3, (400, 4)).astype(float)  # few values, so many ties and zero vectors
     made[7] = 0
