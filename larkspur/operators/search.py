@@ -20,6 +20,8 @@ from ..functions import rules as R
 BLOCK_ROWS = 2048
 #: Length of the heads of two fused lists, in multiples of the shortest that holds the result; longer ones leave fewer ranks to count.
 HEADS = 10
+#: Up to this length Spark cuts a head before it shuffles (spark.sql.optimizer.windowGroupLimitThreshold); longer heads only where k needs them.
+CUT_EARLY = 1000
 
 
 def scope(departments: list[str] | None = None, doc_ids: list | None = None, exclude_doc_ids: list | None = None, current_only: bool = False, content_types: list[str] | None = None) -> Column:
@@ -197,7 +199,8 @@ def hybrid(lexical: DataFrame, questions: DataFrame, vectors: DataFrame, k: int
     the few places up to ``least``, the rank in the other list is counted. A list shorter
     than its head is all there.
     """
-    n = HEADS * (R.RRF_K + 2 * k)
+    shortest = R.RRF_K + 2 * k
+    n = max(shortest, min(HEADS * shortest, CUT_EARLY))
     least = int(1 / (1 / (R.RRF_K + k) - 1 / (R.RRF_K + n + 1) - 1e-9)) - R.RRF_K + 1
     word, near = [ranked(scores, key).filter(F.col("rank") <= n) for scores in (lexical, cosine(questions, vectors, n, key))]
     pair = ["query_id", key]
