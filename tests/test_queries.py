@@ -193,3 +193,15 @@ def test_hybrid_equals_whole_lists_ranked_and_fused(spark, monkeypatch, heads):
                 near = scores[1].get(key)
                 want[q, rank] = (key[1], round(rrf[key], 12), scores[0].get(key), None if near is None else round(near, 9))
         assert got == want and len(got) == 4 * k
+
+
+def test_mean_latency_on_a_half_does_not_depend_on_row_order(spark):
+    from larkspur.operators import evaluate
+
+    # the mean is 1.35 exactly; doubles summed in turn give 1.3499999999999999 or less
+    values = [0.1] * 5 + [7.6]
+    tied = {f"{k}{s}": [s * v for v in (values if k == "up" else values[::-1])] for k in ("up", "down") for s in (1, -1)}
+    rows = [(k, v) for k, vs in tied.items() for v in vs] + [("null", None), ("large", 1e300), ("large", 1e300), ("nan", float("nan")), ("some", None), ("some", 2.25)]
+    found = {r.id: r.latency_ms for r in evaluate.latency_repeats(spark.createDataFrame(rows, "id string, latency_ms double").coalesce(1)).collect()}
+    assert [found[k] for k in ("up1", "down1", "up-1", "down-1")] == [1.4, 1.4, -1.4, -1.4]
+    assert found["null"] is None and found["large"] == 1e300 and found["nan"] != found["nan"] and found["some"] == 2.3
