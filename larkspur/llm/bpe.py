@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import returned
+
 #: Chunks after which a generation of the memory ends (with the group of texts at hand).
 MEMORY = 200_000
 #: Chunks up to this length are remembered.
@@ -293,6 +295,10 @@ class BpeTokenizer:
                 if len(c) > MEMORABLE:
                     del known[c]
 
+    def forget(self) -> None:
+        """Drops the remembered chunks; ids stay the same."""
+        self.old, self.young = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text."""
         (packed,) = self.encode_texts([text])
@@ -367,5 +373,6 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
                 coded.append(hashlib.sha256(ids).hexdigest())
                 plain.append(hashlib.sha256(own.decode(unpacked(ids)).encode()).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(returned(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

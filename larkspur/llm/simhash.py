@@ -219,6 +219,42 @@ def verified_links(buckets: DataFrame, radius: int) -> DataFrame:
     return buckets.select("fps").mapInArrow(run, "a long, b long")
 
 
+def _spanning(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Like ``_forest`` for a bucket of any size: memory is linear, and texts that are linked are not compared again."""
+    rest, left, out = np.arange(len(fps)), fps.view(np.uint64), []
+    while len(rest) > 1:
+        stack, rest = [int(rest[0])], rest[1:]
+        while stack and len(rest):
+            at = stack.pop()
+            near = np.bitwise_count(left[rest] ^ left[at]) <= radius
+            if near.any():
+                found = rest[near].tolist()
+                rest = rest[~near]
+                stack += found
+                out += [(int(fps[at]), int(fps[o])) for o in found]
+    return out
+
+
+def wide_links(distinct: DataFrame, radius: int) -> DataFrame:
+    """(a, b) over distinct fingerprints ``fp``: edges with the components of all pairs within ``radius``, 1 to 31.
+
+    Pigeonhole: of ``radius + 1`` parts two such fingerprints share one. A bucket is compared
+    in one task, which is quadratic in its different, unlinked fingerprints: for n of them
+    about ``(radius + 1) / 2 ** (64 / (radius + 1))`` of all pairs.
+    """
+    edges = [BITS * k // (radius + 1) for k in range(radius + 2)]
+    parts = [F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(list(range(a, b))))).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    buckets = distinct.select("fp", F.inline(F.array(*parts))).groupBy("part", "value").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fps in batch.column(0):
+                found = _spanning(fps.values.to_numpy(), radius)
+                yield pa.record_batch([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["a", "b"])
+
+    return buckets.select("fps").mapInArrow(run, "a long, b long").distinct()
+
+
 def meeting_points(fps: DataFrame) -> DataFrame:
     """Exact links at distance 2 or less, by a star per one-bit neighbour."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(b)).cast("long") for b in range(BITS)])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, returned
 
 # Seed lexicon, English, German, Spanish and French.
 INSULTS = tuple(
@@ -74,6 +74,8 @@ TARGET_SPAN, NEGATION_SPAN, THREAT_SPAN = 4, 3, 3
 STEMS = (4, 5, 6, 7)
 #: A learned word or stem has so many times the share in toxic documents that it has in clean ones, and the lower bound of its odds is so many times those of any document.
 PURITY, LIFT = 100.0, 9.0
+#: Terms that a task counts before it hands them on to be summed.
+MOST_TERMS = 200_000
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 STOPS = frozenset(".!?;:\n")
@@ -313,6 +315,10 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, train: Column, max_labelle
     """
     sample = cut(_sample(docs, labels, train, max_labelled))
 
+    def counted(toxic: Counter, clean: Counter) -> pa.RecordBatch:
+        keys = [*toxic, *(k for k in clean if k not in toxic)]
+        return pa.record_batch([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], names=["term", "toxic", "clean"])
+
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for batch in batches:
@@ -320,10 +326,12 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, train: Column, max_labelle
                 words = {w for w in TOKEN.findall((text or "").lower()) if w not in STOPS}
                 found = words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
                 (toxic if label else clean).update(found)
-        keys = [*toxic, *(k for k in clean if k not in toxic)]
-        yield pa.record_batch([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], names=["term", "toxic", "clean"])
+            if len(toxic) + len(clean) > MOST_TERMS:  # summed below
+                yield counted(toxic, clean)
+                toxic, clean = Counter(), Counter()
+        yield counted(toxic, clean)
 
-    counts = sample.select("text", "toxic").mapInArrow(terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.select("text", "toxic").mapInArrow(returned(terms), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = {int(r.toxic > 0): r.n for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return SEED
@@ -402,4 +410,4 @@ def keep_civil(docs: DataFrame, grammar: Grammar, threshold: float = 0.5) -> Dat
         for batch in batches:
             yield batch.filter(pa.array([own.score(t.as_py()) < threshold for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returned(run), docs.schema)

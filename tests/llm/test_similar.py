@@ -1,7 +1,9 @@
 import random
 from fractions import Fraction
 
-from larkspur.llm import similar
+import pyarrow as pa
+from larkspur.llm import simhash, similar
+from larkspur.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
 
@@ -84,3 +86,66 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string").withColumn("n", F.lit(1))
     found = similar.drop_near_copies(docs)
     assert found.columns == docs.columns and found.count() == 0
+
+
+def test_simhash_finds_pairs_which_are_verified(spark):
+    """Texts in pairs: a few words changed in 200, which SimHash alone finds, and unrelated ones, which it leaves."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    rows, near = [], 0
+    for k in range(60):
+        base = r.choices(words, k=200)
+        copy = list(base)
+        copy[r.randrange(200)] = "other"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        near += (simhash.fingerprint(rows[-1][1].encode(), 5) ^ simhash.fingerprint(rows[-2][1].encode(), 5)).bit_count() <= similar.RADIUS
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(p.a, p.b) for p in similar.fingerprint_pairs(docs, 5, similar.RADIUS).collect()}
+    names = [similar._signed([similar.name(t.encode())])[0] for _, t in rows]
+    pairs = {tuple(sorted(map(int, names[2 * k : 2 * k + 2]))) for k in range(60)}
+    assert near > 40 and len(found & pairs) == near and len(found - pairs) <= 2
+
+
+def test_wide_links_match_brute_force(spark):
+    r = random.Random(3)
+    fps = {0, (1 << 64) - 1}
+    for _ in range(40):
+        base = r.getrandbits(64)
+        fps |= {base} | {base ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 9))) for _ in range(6)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    for radius in (2, 7):
+        edges = simhash.wide_links(spark.createDataFrame([(f,) for f in signed], "fp long"), radius).collect()
+        assert all(((e.a ^ e.b) & ((1 << 64) - 1)).bit_count() <= radius for e in edges)
+        parent = {f: f for f in signed}
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for e in edges:
+            parent[root(e.a)] = root(e.b)
+        assert all(root(a) == root(b) for a in signed for b in signed if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius)
+        assert simhash.wide_links(spark.createDataFrame([], "fp long"), radius).count() == 0
+
+
+def test_the_stage_links_by_simhash(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked = []
+    monkeypatch.setattr(simhash, "wide_links", lambda fps, radius, plain=simhash.wide_links: asked.append(radius) or plain(fps, radius))
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    assert corpus_pipeline.distinct(spark, docs, "").count() == len(brute(corpus())) and asked == [similar.RADIUS]
+
+
+def test_tasks_return_what_they_freed():
+    from larkspur.llm import bpe
+    from larkspur.llm.common import returned
+
+    batch = pa.record_batch([pa.array(range(2500))], names=["k"])
+    assert [b.num_rows for b in returned(lambda batches: batches)(iter([batch, batch.slice(0, 0)]))] == [1024, 1024, 452]
+    own = bpe.tokenizer(bpe.read_tokenizer(tokenizer_path()))
+    ids = own.encode("some words here")
+    assert own.young
+    own.forget()
+    assert not own.young and not own.old and own.encode("some words here") == ids
