@@ -5,13 +5,14 @@
   missing prefixes, unusual grouping - which may overlap; those that touch a strict
   span are settled already and go.
 * Selection: boosted trees score each candidate by its format and its context. The
-  trees are fitted on the driver with NumPy over a bounded training table and run as
+  trees are fitted on the driver with NumPy over counted vectors of features and run as
   plain column expressions. A threshold per kind, calibrated on the half of the table
   that the trees have not seen, selects; of overlapping selections the best stays.
 
-The training table holds the candidates of ``sample_docs`` documents (smallest hashes;
-a candidate is positive if it is a strict span) and of generated texts with disguised
-personal data and with look-alikes: dates, versions, amounts, tables of numbers.
+The training table counts the candidates of all documents by their vectors (a candidate
+is positive if it is a strict span) and has generated texts with disguised personal data
+and with look-alikes: dates, versions, amounts, tables of numbers. The documents' rows
+weigh together as much as the generated ones, however many they are.
 
 Patterns keep to possessive or bounded repeats, so long junk takes linear time and no
 deep recursion.
@@ -51,7 +52,11 @@ CUES = {"email": "mail|contact|write|reach", "ip": "ip|host|server|address|ping|
 OTHERS = "price|total|date|version|isbn|order|page|ticket|build|serial|table|sum|chapter|usd|eur"
 
 CONTEXT = 24
-FEATURES = ("kind", "chars", "digits", "letters", "marks", "groups", "longest", "spelled", "luhn", "octets", "cue", "other", "opens", "lead", "date", "even")
+#: Features and the bits that each has in a packed vector; larger values count as the largest there.
+WIDTHS = {"kind": 2, "chars": 6, "digits": 6, "letters": 6, "marks": 6, "groups": 6, "longest": 6, "spelled": 1, "luhn": 1, "octets": 1, "cue": 1, "other": 1, "opens": 1, "lead": 4, "date": 1, "even": 1}
+FEATURES = tuple(WIDTHS)
+#: Different vectors that the driver gets at most; beyond that sizes are counted in coarser steps, and no row is left out.
+MOST_VECTORS = 200_000
 
 
 def _digits(text: Column) -> Column:
@@ -198,27 +203,27 @@ class Model:
         return out
 
 
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, ridge: float, least: int) -> Tree:
+def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, w: np.ndarray, depth: int, ridge: float, least: int) -> Tree:
     best, gain = None, 1e-6
-    total_g, total_h = g.sum(), h.sum()
-    if depth and len(x) >= 2 * least:
+    total_g, total_h, total_w = g.sum(), h.sum(), w.sum()
+    if depth and total_w >= 2 * least:
         for f in range(x.shape[1]):
             order = np.argsort(x[:, f], kind="stable")
-            v, cg, ch = x[order, f], np.cumsum(g[order]), np.cumsum(h[order])
+            v, cg, ch, cw = x[order, f], np.cumsum(g[order]), np.cumsum(h[order]), np.cumsum(w[order])
             cuts = np.flatnonzero(v[1:] > v[:-1])
-            cuts = cuts[(cuts + 1 >= least) & (len(x) - cuts - 1 >= least)]
+            cuts = cuts[(cw[cuts] >= least) & (total_w - cw[cuts] >= least)]
             if not len(cuts):
                 continue
             lg, lh = cg[cuts], ch[cuts]
             value = lg**2 / (lh + ridge) + (total_g - lg) ** 2 / (total_h - lh + ridge) - total_g**2 / (total_h + ridge)
             k = int(np.argmax(value))
             if value[k] > gain:
-                gain, best = float(value[k]), (f, float((v[cuts[k]] + v[cuts[k] + 1]) / 2))
+                gain, best = float(value[k]), (f, float(v[cuts[k] + 1]))
     if best is None:
         return Tree(value=float(total_g / (total_h + ridge)))
     f, at = best
     low = x[:, f] < at
-    return Tree(f, at, _grow(x[low], g[low], h[low], depth - 1, ridge, least), _grow(x[~low], g[~low], h[~low], depth - 1, ridge, least))
+    return Tree(f, at, _grow(x[low], g[low], h[low], w[low], depth - 1, ridge, least), _grow(x[~low], g[~low], h[~low], w[~low], depth - 1, ridge, least))
 
 
 def _shrunk(tree: Tree, rate: float) -> Tree:
@@ -227,30 +232,31 @@ def _shrunk(tree: Tree, rate: float) -> Tree:
     return Tree(tree.feature, tree.at, _shrunk(tree.low, rate), _shrunk(tree.high, rate))
 
 
-def fit(x: np.ndarray, y: np.ndarray, seen: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.3, precision: float = 0.98) -> Model:
-    """Logistic boosting on the rows ``seen``; thresholds on the others.
+def fit(x: np.ndarray, y: np.ndarray, seen: np.ndarray, weight: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.3, precision: float = 0.98) -> Model:
+    """Logistic boosting on the rows ``seen``; thresholds on the others. Each row counts ``weight`` times.
 
     A kind's threshold is the lowest score above which the unseen rows reach
     ``precision``, and never below even odds of nine to one; without unseen positives
     the kind selects nothing.
     """
-    xs, ys = x[seen], y[seen]
-    share = min(max(ys.mean() if len(ys) else 0.5, 1e-3), 1 - 1e-3)
+    xs, ys, ws = x[seen], y[seen], weight[seen]
+    share = min(max((ys * ws).sum() / ws.sum() if len(ys) else 0.5, 1e-3), 1 - 1e-3)
     start = float(np.log(share / (1 - share)))
     z, trees = np.full(len(xs), start), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-z))
-        tree = _shrunk(_grow(xs, ys - p, p * (1 - p), depth, 1.0, 8), rate)
+        tree = _shrunk(_grow(xs, (ys - p) * ws, p * (1 - p) * ws, ws, depth, 1.0, 8), rate)
         z += tree.apply(xs)
         trees.append(tree)
     model, limits = Model(start, tuple(trees), ()), []
-    rest, labels = x[~seen], y[~seen]
+    rest, labels, counts = x[~seen], y[~seen], weight[~seen]
     scores = model.scores(rest)
     for k in range(len(KINDS)):
         own = rest[:, 0] == k
         order = np.argsort(-scores[own], kind="stable")
-        s, hit = scores[own][order], np.cumsum(labels[own][order])
-        good = np.flatnonzero(hit >= precision * np.arange(1, len(s) + 1)) if len(s) else np.array([], int)
+        s, n, hit = scores[own][order], np.cumsum(counts[own][order]), np.cumsum((labels * counts)[own][order])
+        ends = np.flatnonzero(np.append(s[1:] < s[:-1], True)) if len(s) else np.array([], int)  # equal scores pass together
+        good = ends[hit[ends] >= precision * n[ends]]
         limits.append(max(float(np.log(9.0)), float(s[good[-1]])) if len(good) and hit[good[-1]] else float("inf"))
     return Model(start, tuple(trees), tuple(limits))
 
@@ -329,22 +335,70 @@ def _table(found: DataFrame, spans: str) -> np.ndarray:
     return np.array(sorted((r.doc_id or 0, r.start, r.stop, *r.f) for r in taken), np.float64).reshape(len(taken), 3 + len(FEATURES))
 
 
-def learn_model(docs: DataFrame, sample_docs: int = 2000, sample_spans: int = 20) -> Model:
-    """Trees and thresholds. ``sample_docs`` documents with at most ``sample_spans`` proposals each join the training table."""
+def _packed(row: Column, *flags: Column) -> Column:
+    """Features and flags as one long, the last flag in the lowest bit."""
+    out = F.lit(0).cast("long")
+    for f, bits in WIDTHS.items():
+        out = F.shiftleft(out, bits).bitwiseOR(F.least(row[f], F.lit(float((1 << bits) - 1))).cast("long"))
+    for flag in flags:
+        out = F.shiftleft(out, 1).bitwiseOR(flag.cast("long"))
+    return out
+
+
+def _unpacked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and sides of packed vectors."""
+    x, at = np.zeros((len(keys), len(FEATURES))), 2
+    for k, bits in reversed(list(enumerate(WIDTHS.values()))):
+        x[:, k] = (keys >> at) & ((1 << bits) - 1)
+        at += bits
+    return x, (keys >> 1 & 1).astype(float), (keys & 1).astype(bool)
+
+
+def _steps(step: int) -> int:
+    """Mask that leaves packed sizes in steps of ``1 << step``."""
+    mask, at = 0b11, 2
+    for bits in reversed(list(WIDTHS.values())):
+        mask |= ((1 << bits) - (1 << step if bits == 6 else 1)) << at
+        at += bits
+    return mask
+
+
+def counted_vectors(docs: DataFrame, most: int = MOST_VECTORS) -> tuple[np.ndarray, np.ndarray]:
+    """Packed vectors (features, strict, side) of all candidates of all rows of ``docs``, in order, and how often each occurs.
+
+    Sides are halves of the texts by hash. More than ``most`` vectors are counted by
+    sizes in steps of 2, 4 .. 64; then at most 65 536 are left.
+    """
+
+    def labelled(spans: str, y: int) -> Column:
+        return F.transform(spans, lambda c: F.struct(F.lit(y).alias("y"), c.alias("span")))
+
+    side = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
+    rows = candidates(docs).select("text", F.explode(F.concat(labelled("open", 0), labelled("strict", 1))).alias("c"))
+    counts = cut(rows.select(_packed(features(F.col("c.span"), F.col("text")), F.col("c.y"), side).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    for step in range(7):
+        coarse = counts.groupBy(F.col("v").bitwiseAND(F.lit(_steps(step))).alias("v")).agg(F.sum("n").alias("n"))
+        if step == 6 or coarse.count() <= most:
+            break
+    taken = coarse.collect()
+    found = np.array(sorted(map(tuple, taken)), np.int64).reshape(len(taken), 2)
+    return found[:, 0], found[:, 1]
+
+
+def learn_model(docs: DataFrame) -> Model:
+    """Trees and thresholds, from the proposals and strict spans of all rows of ``docs`` and from generated texts."""
     spark = docs.sparkSession
     made = generated_texts()
     texts = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
     own = _table(candidates(texts), "open")
     label = [float(any(a < stop and start < b and min(stop, b) - max(start, a) >= 0.6 * max(stop - start, b - a) for a, b in made[int(i)][1])) for i, start, stop in own[:, :3]]
-    chosen = docs.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    # the sampled texts are cut off here, or Spark would look for candidates in all documents before it joins
-    real = candidates(cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")))
-    negatives = _table(real.select("doc_id", "text", F.slice("open", 1, sample_spans).alias("open")), "open")
-    positives = _table(real.select("doc_id", "text", F.slice("strict", 1, sample_spans).alias("strict")), "strict")
-    x = np.concatenate((own[:, 3:], negatives[:, 3:], positives[:, 3:]))
-    y = np.concatenate((label, np.zeros(len(negatives)), np.ones(len(positives))))
-    seen = np.concatenate([t[:, 0].astype(np.int64) // 15 % 2 == 0 for t in (own, negatives, positives)])
-    return fit(x, y, seen)
+    vectors, n = counted_vectors(docs)
+    real, strict, side = _unpacked(vectors)
+    x = np.concatenate((np.minimum(own[:, 3:], [(1 << bits) - 1 for bits in WIDTHS.values()]), real))
+    y = np.concatenate((label, strict))
+    seen = np.concatenate((own[:, 0].astype(np.int64) // 15 % 2 == 0, side))
+    weight = np.concatenate((np.ones(len(own)), n * (len(own) / max(n.sum(), len(own)))))
+    return fit(x, y, seen, weight)
 
 
 # --- selection -----------------------------------------------------------------------------

@@ -98,3 +98,38 @@ def test_base_of_a_whole_table_and_zero_parts(spark, model, sf_dir):
         want = brute(r.text)
         assert found[r.doc_id].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), r.doc_id
         assert found[r.doc_id].n_ip == sum(x.startswith("ip:") for x in want)
+
+
+def test_the_model_counts_every_candidate_of_every_row(spark):
+    """More rows and more proposals a row than any sample of the table held; rows without an id too."""
+    text = " ".join(f"at 030-555-0{k:03d}" for k in range(100, 140)) + " mail "
+    rows = [(None if k % 5 == 0 else k, f"row {k} {text}{'a' * (k % 30 + 1)}@b.co") for k in range(2500)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    loose = spark.createDataFrame([(0, rows[0][1])], "doc_id long, text string")
+    (one,) = pii.candidates(loose).collect()
+    assert len(one.open) == 40 and len(one.strict) == 1
+    vectors, n = pii.counted_vectors(docs)
+    x, strict, side = pii._unpacked(vectors)
+    assert n[strict == 0].sum() == 2500 * 40 and n[strict == 1].sum() == 2500
+    assert 0.3 < n[side].sum() / n.sum() < 0.7 and set(x[:, 0]) == {0.0, 3.0}
+    coarse, m = pii.counted_vectors(docs, most=1)
+    assert m.sum() == n.sum() and len(coarse) < len(vectors) and not pii._unpacked(coarse)[0][:, 1:7].any()
+    assert [len(a) for a in pii.counted_vectors(docs.filter("text = 'none'"))] == [0, 0]
+
+
+def test_packed_vectors_hold_the_features(spark):
+    rng = np.random.default_rng(4)
+    rows = [[int(rng.integers(0, 1 << bits)) for bits in pii.WIDTHS.values()] for _ in range(30)]
+    df = spark.createDataFrame([(*map(float, r), k % 2, k % 3 == 0) for k, r in enumerate(rows)], ", ".join(f"{f} double" for f in pii.FEATURES) + ", y int, s boolean")
+    keys = np.array([r.v for r in df.select(pii._packed(F.struct(*pii.FEATURES), F.col("y"), F.col("s")).alias("v")).collect()])
+    x, y, s = pii._unpacked(keys)
+    assert x.astype(int).tolist() == rows and y.tolist() == [k % 2 for k in range(30)] and s.tolist() == [k % 3 == 0 for k in range(30)]
+
+
+def test_weights_count_as_repeats():
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.integers(0, 4, 400), *[rng.integers(0, 9, 400) for _ in pii.FEATURES[1:]]]).astype(float)
+    y, seen, w = (x[:, 1] > 5).astype(float), rng.random(400) < 0.5, rng.integers(1, 4, 400)
+    repeated = [np.repeat(a, w, axis=0) for a in (x, y, seen)]
+    one, other = pii.fit(x, y, seen, w.astype(float)), pii.fit(*repeated, np.ones(w.sum()))
+    assert np.allclose(one.scores(x), other.scores(x)) and np.allclose(one.thresholds, other.thresholds)
