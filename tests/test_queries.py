@@ -205,3 +205,18 @@ def test_mean_latency_on_a_half_does_not_depend_on_row_order(spark):
     found = {r.id: r.latency_ms for r in evaluate.latency_repeats(spark.createDataFrame(rows, "id string, latency_ms double").coalesce(1)).collect()}
     assert [found[k] for k in ("up1", "down1", "up-1", "down-1")] == [1.4, 1.4, -1.4, -1.4]
     assert found["null"] is None and found["large"] == 1e300 and found["nan"] != found["nan"] and found["some"] == 2.3
+
+
+def test_ask_benchmark_reads_the_kept_index_and_vectors(spark, sf_dir):
+    from larkspur.operators import embed
+    from larkspur.plans.ask import ask
+    from larkspur.plans.fixtures import described, table
+    from pyspark.sql import functions as F
+
+    found = QUERIES["ask_benchmark"](spark, sf_dir)
+    plan = found._jdf.queryExecution().toString()
+    assert "larkspur-lexical" in plan and "larkspur-vectors" in plan
+    d = described(spark, sf_dir).withColumn("cid", F.col("doc_id")).withColumn("version", F.lit(None).cast("string")).withColumn("embed_text", F.col("text")).drop("chunk_id")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(None).cast("array<struct<role:string,content:string>>").alias("history"), F.lit(None).cast("array<string>").alias("departments"))
+    plain = ask(asked, d, embed.embed_texts(d.select("cid", "text"), "cid")).select(*found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
