@@ -220,3 +220,29 @@ def test_ask_benchmark_reads_the_kept_index_and_vectors(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(None).cast("array<struct<role:string,content:string>>").alias("history"), F.lit(None).cast("array<string>").alias("departments"))
     plain = ask(asked, d, embed.embed_texts(d.select("cid", "text"), "cid")).select(*found.columns)
     assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_latency_repeats_equals_its_sql_on_halves(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    # the exact mean is 1.35; which side the sum of doubles falls to depends on the order of rows
+    values = [0.1] * 5 + [7.6]
+    groups = {1: values, 2: values[::-1], 3: [-v for v in values], 4: [-v for v in values[::-1]], 5: [54.35 - 7e-15], 6: [None], 7: [1e300, 1e300, None], 8: [float("nan")], 9: [5e307], 10: [2.25, None]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    pq.write_table(pa.table({"user_id": pa.array([k for k, _ in rows], pa.int64()), "value": pa.array([v for _, v in rows], pa.float64())}), tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = dict(con.sql(SQL["latency_repeats"]).fetchall())
+    assert want[1] == 1.3  # not the half's own rounding
+    found = {r.id: r.latency_ms for r in QUERIES["latency_repeats"](spark, str(tmp_path)).collect()}
+    assert {k: str(v) for k, v in found.items()} == {k: str(v) for k, v in want.items()}
+
+
+def test_latency_in_order_adds_blocks_in_their_order(spark):
+    from larkspur.operators import evaluate
+
+    rows = [("a", 1e16, "f", 0), ("a", 1.0, "f", 8), ("a", -1e16, "g", 0), ("b", 1e16, "f", 0), ("b", -1e16, "f", 8), ("b", 1.0, "g", 0), ("c", None, "f", 0), ("c", 3.0, "g", 0)]
+    for some in (rows, rows[::-1]):
+        runs = spark.createDataFrame(some, "id string, latency_ms double, file string, block long")
+        assert {r.id: r.latency_ms for r in evaluate.latency_repeats_in_order(runs).collect()} == {"a": 0.0, "b": 0.3, "c": 3.0}
