@@ -246,3 +246,33 @@ def test_latency_in_order_adds_blocks_in_their_order(spark):
     for some in (rows, rows[::-1]):
         runs = spark.createDataFrame(some, "id string, latency_ms double, file string, block long")
         assert {r.id: r.latency_ms for r in evaluate.latency_repeats_in_order(runs).collect()} == {"a": 0.0, "b": 0.3, "c": 3.0}
+
+
+def test_embedding_is_the_sum_over_its_features():
+    import hashlib
+    import math
+
+    from larkspur.operators import embed
+
+    # 4-grams are counted and hashed as numbers; the vector is that of the features, to the last bit
+    for text in (None, "", "ab", "abc", "abcd", "\u212a \u00e9 $5.00, 10% of A_b", "it is " * 9000 + "so. " * 3):
+        for width in (16, 768):
+            want = np.zeros(width)
+            for name, weight in embed.features(text or "").items():
+                value = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big")
+                want[(value >> 1) % width] += (1.0 if value & 1 else -1.0) * (1.0 + math.log(weight + 1.0))
+            norm = math.sqrt(float(want @ want))
+            assert np.array_equal(embed.embed(text, width), want / norm if norm else want)
+
+
+def test_ask_is_planned_in_small_parts(spark):
+    from larkspur.plans.ask import ask
+
+    fields = "cid long, doc_id string, text string, embed_text string, title string, section_path string, department string, doc_type string, effective_date string, version string, is_current boolean"
+    chunks = spark.createDataFrame([(1, "a.pdf", "The limit is $250.", "The limit is $250.", "Travel", "2. Hotels", "Finance", "policy", "2026-01-01", "2", True)], fields)
+    asked = spark.createDataFrame([(1, "What is the limit?", None, None)], "query_id long, question string, history array<struct<role:string,content:string>>, departments array<string>")
+    found = ask(asked, chunks, spark.createDataFrame([(1, [1.0] * 768)], "cid long, vector array<double>"))
+    # uncut, every step repeats all those before it: 9874 lines
+    lines = len(found._jdf.queryExecution().analyzed().toString().splitlines())
+    assert lines < 3000
+    assert [r.query_id for r in found.collect()] == [1]
